@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.llm.common import SEPARATOR, U64, Slice, SpanHash, counted, documents, mix, slices, texts, windows, words
 
@@ -37,7 +38,7 @@ def _table(characters: str) -> np.ndarray:
 _SYMBOL, _MARK, _DIGIT = _table("#*$%&|<>"), _table(".,;:!?"), _table("0123456789")
 _UPPER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_digits", "n_marks"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_runs", "n_upper", "n_digits", "n_marks"]
 RATIOS = ["symbol_share", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "mark_share", "mean_word"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 
@@ -81,7 +82,10 @@ def counts(s: Slice) -> dict[str, np.ndarray]:
     np.add.at(cover, again, 1)
     np.add.at(cover, again + WINDOW, -1)
     out["n_repeat_words"] = counted(np.cumsum(cover[:-1]) > 0, w.first)
-    out["n_distinct_words"] = counted(~_repeats(w.row, hashes)[1], w.first)
+    at, h = windows(hashes, w.row, 3)
+    new = np.zeros(len(hashes), bool)
+    new[at] = ~_repeats(w.row[at], h)[1]
+    out["n_distinct_runs"] = counted(new, w.first)
     out["n_upper"], out["n_digits"], out["n_marks"] = (counted(t[s.data], s.at) for t in (_UPPER, _DIGIT, _MARK))
     return out
 
@@ -106,8 +110,18 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def with_ratios(stats: DataFrame) -> DataFrame:
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    made = {"symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "distinct_share": ("n_distinct_words", "n_words"), "upper_share": ("n_upper", "word_chars"), "digit_share": ("n_digits", "word_chars"), "mark_share": ("n_marks", "n_words"), "mean_word": ("word_chars", "n_words")}
-    return stats.withColumns({k: share(*v) for k, v in made.items()})
+    made = {
+        "symbol_share": ("n_symbols", "word_chars"),
+        "dup_line_share": ("n_dup_lines", "n_lines"),
+        "repeat_share": ("n_repeat_words", "n_words"),
+        "upper_share": ("n_upper", "word_chars"),
+        "digit_share": ("n_digits", "word_chars"),
+        "mark_share": ("n_marks", "n_words"),
+        "mean_word": ("word_chars", "n_words"),
+    }
+    # of runs of three words, of which a text has two fewer than words
+    distinct = F.col("n_distinct_runs") / F.greatest(F.col("n_words") - 2, F.lit(1))
+    return stats.withColumns({k: share(*v) for k, v in made.items()} | {"distinct_share": distinct})
 
 
 class Condition(NamedTuple):
@@ -145,11 +159,12 @@ def _best(x: np.ndarray, y: np.ndarray) -> tuple[float, Condition | None]:
     return best
 
 
-def learn(x: np.ndarray, bad: np.ndarray, *, most_rules: int = 12, most_conditions: int = 4, least_cover: int = 3, precision: float = 0.9, seed: int = 7) -> list[list[Condition]]:
+def learn(x: np.ndarray, bad: np.ndarray, *, most_rules: int = 12, most_conditions: int = 4, least_cover: int = 3, precision: float = 0.9, tries: int = 5, seed: int = 7) -> list[list[Condition]]:
     """Rules that reject, in order; what none of them covers is kept."""
     rules: list[list[Condition]] = []
-    left = np.random.default_rng(seed).permutation(len(x))
-    while len(rules) < most_rules and bad[left].any() and (~bad[left]).any():
+    random, left, failed = np.random.default_rng(seed), np.arange(len(x)), 0
+    while failed < tries and len(rules) < most_rules and bad[left].any() and (~bad[left]).any():
+        left = random.permutation(left)
         grow, prune = left[np.arange(len(left)) % 3 > 0], left[np.arange(len(left)) % 3 == 0]
         rule: list[Condition] = []
         at = grow
@@ -167,14 +182,13 @@ def learn(x: np.ndarray, bad: np.ndarray, *, most_rules: int = 12, most_conditio
 
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule.pop()
-        if not rule:
-            break
         hit = _holds(rule, x[left])
         p, n = int((hit & bad[left]).sum()), int((hit & ~bad[left]).sum())
-        if p < least_cover or p < precision * (p + n) or worth(rule) < 2 * precision - 1:
-            break
+        if not rule or p < least_cover or p < precision * (p + n) or worth(rule) < 2 * precision - 1:
+            failed += 1  # another split may do better
+            continue
         rules.append(rule)
-        left = left[~hit]
+        left, failed = left[~hit], 0
     return rules
 
 
@@ -212,6 +226,22 @@ def judged(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     return with_ratios(statistics(docs)).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejects(rules))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that pass the base test and the rules, with all their columns; no shuffle."""
+    rules = learn(*labelled(docs, labels, sample_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            for s in slices(row.field("text") if not row.offset else row.flatten()[row.type.get_field_index("text")]):
+                found = counts(s)
+                yield pa.RecordBatch.from_arrays([row.slice(s.start, s.rows), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], ["row", *COUNTS])
+
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = T.StructType([*whole.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return with_ratios(whole.mapInArrow(run, schema)).where(~base_failed() & ~rejects(rules)).select("row.*")
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every row of documents."""
     out = judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from attesta.llm.decontamination import op1_pigeonhole_myers
 from attesta.llm.language import op9_kneser_ney
+from attesta.llm.near_duplicates import op6_probminhash
 from attesta.llm.packing import op8_concat_cut
+from attesta.llm.pages import op3_template_classes
 from attesta.llm.personal import op2_weak_supervision
 from attesta.llm.quality import op7_decision_list
 from attesta.llm.sharding import op5_byte_prefix_shards
+from attesta.llm.suffix_dedup import op4_longest_previous_factor
 from attesta.llm.token_files import op10_perfect_hash_files
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_myers, op2_weak_supervision, op5_byte_prefix_shards, op7_decision_list, op8_concat_cut, op9_kneser_ney, op10_perfect_hash_files)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_myers, op2_weak_supervision, op3_template_classes, op4_longest_previous_factor, op5_byte_prefix_shards, op6_probminhash, op7_decision_list, op8_concat_cut, op9_kneser_ney, op10_perfect_hash_files)}
 
 #: DuckDB SQL with the same result, where SQL can express it.
 ORACLE_SQL: dict[str, str] = {}
