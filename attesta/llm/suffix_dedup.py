@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from attesta.llm.common import U64, Slice, SpanHash, documents, mix, partitions, slices, texts
 
 LENGTH, GRAM = 50, 24
+#: Bytes of text, and contexts, that a kernel takes at once: its arrays then stay in a processor's cache.
+SLICE, CHUNK = 64 << 10, 8192
 
 
 def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -72,17 +74,22 @@ class Contexts:
 
     def __init__(self, s: Slice, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> None:
         before = length - gram
-        row = np.searchsorted(s.at, at, "right") - 1
-        self.row = row
-        self.left = np.minimum(at - s.at[row], before)
-        self.right = np.minimum(s.at[row + 1] - at, length)
-        span = np.arange(-before, length)
-        where = at[:, None] + span[None, :]
-        inside = (span[None, :] >= -self.left[:, None]) & (span[None, :] < self.right[:, None])
-        self.bytes = np.where(inside, s.data[np.clip(where, 0, max(0, len(s.data) - 1))], np.uint8(0))
+        self.row = np.searchsorted(s.at, at, "right") - 1
+        self.left = np.minimum(at - s.at[self.row], before)
+        self.right = np.minimum(s.at[self.row + 1] - at, length)
         width = before + length
+        around = np.concatenate([np.zeros(before, np.uint8), s.data, np.zeros(length, np.uint8)])
+        self.bytes = np.lib.stride_tricks.sliding_window_view(around, width)[at]
+        span = np.arange(-before, length)
+        short = np.flatnonzero((self.left < before) | (self.right < length))
+        outside = (span[None, :] < -self.left[short, None]) | (span[None, :] >= self.right[short, None])
+        self.bytes[short] = np.where(outside, np.uint8(0), self.bytes[short])
         first = np.arange(len(at)) * width
-        self.hash = mix(SpanHash(self.bytes.ravel()).of(first, first + width) ^ mix((self.left * 64 + self.right).astype(U64)))
+        self.hash = np.zeros(len(at), U64)
+        for i in range(0, len(at), CHUNK):
+            part = slice(i, i + CHUNK)
+            at0 = first[part] - i * width
+            self.hash[part] = mix(SpanHash(self.bytes[part].ravel()).of(at0, at0 + width) ^ mix((self.left[part] * 64 + self.right[part]).astype(U64)))
 
 
 def valid(left: np.ndarray, right: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -116,6 +123,26 @@ def earliest(context: np.ndarray, left: np.ndarray, right: np.ndarray, group: np
     return out
 
 
+def earlier(name: np.ndarray, anchor: np.ndarray, doc: np.ndarray, sides: np.ndarray, raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """For each context, sorted by anchor, name and document, a bit for each of its strings that a smaller document has too."""
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (anchor[1:] != anchor[:-1])])
+    one = np.flatnonzero(new)  # equal contexts once, with their least document
+    which = np.cumsum(new) - 1
+    left, right = sides[one] >> 6, sides[one] & 63
+    least = np.where(valid(left, right, length, gram), doc[one][:, None], np.iinfo(np.int64).max)
+    g = anchor[one]
+    twin = np.zeros(len(one), bool)  # contexts that share their anchor with another one
+    twin[1:] |= g[1:] == g[:-1]
+    twin[:-1] |= g[1:] == g[:-1]
+    twin = np.flatnonzero(twin)
+    if len(twin):
+        least[twin] = np.minimum(least[twin], earliest(raw[one[twin]], left[twin], right[twin], g[twin], doc[one[twin]], length, gram))
+    bits = np.zeros(len(name), "<u4")
+    for o in range(least.shape[1]):
+        bits |= (least[:, o][which] < doc).astype("<u4") << np.uint32(o)
+    return bits
+
+
 def longest_previous_factor(data: np.ndarray) -> np.ndarray:
     """For each place of ``data`` the length of the longest prefix of its suffix that also starts at an earlier place: by the
     suffix array (prefix doubling), its common prefixes, and previous and next smaller places in suffix order."""
@@ -189,7 +216,7 @@ class _Block:
         ids = self.batch.column("doc_id")
         takes = np.array([d is not None and d in self.firsts for d in ids.to_pylist()], bool)
         ids = np.asarray(ids.fill_null(0), np.int64)
-        for s in slices(self.batch.column("text")):
+        for s in slices(self.batch.column("text"), SLICE):
             at, h = anchors(s, self.length, self.gram)
             mine = takes[s.start + np.searchsorted(s.at, at, "right") - 1]
             yield s, ids[s.start : s.stop], at[mine], h[mine]
@@ -296,28 +323,15 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         source = np.repeat(np.arange(len(names)), [len(x) for x in names])
         name, anchor, doc = np.concatenate(names), np.concatenate(read("anchor", "<u8")), np.concatenate(read("doc", "<i8"))
         sides, raw = np.concatenate(read("sides", "<u2")).astype(np.int64), np.concatenate(read("raw", "u1")).reshape(-1, width - 1 + length)
-        # equal contexts once, with their least document
         order = np.lexsort((doc, name, anchor))
-        new = np.concatenate([[True], (name[order[1:]] != name[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])])
-        one = order[new]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        left, right = sides[one] >> 6, sides[one] & 63
-        least = np.where(valid(left, right, length, gram), doc[one][:, None], np.iinfo(np.int64).max)
-        # contexts that share their anchor with another one
-        g = anchor[one]
-        twin = np.zeros(len(one), bool)
-        twin[1:] |= g[1:] == g[:-1]
-        twin[:-1] |= g[1:] == g[:-1]
-        twin = np.flatnonzero(twin)
-        for a in range(0, len(twin), 20_000):  # whole groups at a time
-            b = min(a + 20_000, len(twin))
-            lo = a if a == 0 else int(np.searchsorted(g[twin], g[twin[a]], "left"))
-            while b < len(twin) and g[twin[b]] == g[twin[b - 1]]:
-                b += 1
-            part = twin[lo:b]
-            least[part] = np.minimum(least[part], earliest(raw[one][part], left[part], right[part], g[part], doc[one][part], length, gram))
-        bits = ((least[which] < doc[:, None]) << np.arange(width)[None, :]).sum(1).astype("<u4")
+        g = anchor[order]
+        bits = np.zeros(len(name), "<u4")
+        a = 0
+        while a < len(order):  # whole groups of an anchor at a time
+            b = int(np.searchsorted(g, g[min(a + CHUNK, len(g)) - 1], "right"))
+            part = order[a:b]
+            bits[part] = earlier(name[part], anchor[part], doc[part], sides[part], raw[part], length, gram)
+            a = b
         at = np.flatnonzero(bits)
         cut = np.searchsorted(source[at], np.arange(len(names) + 1))
         used = np.flatnonzero(np.diff(cut))
@@ -363,16 +377,16 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         unique, least = own[o][first], docs_of[o][first]
         rows = []
         for (s, ids, _, _), (ctx, dd, at, left, right) in zip(every, parts, strict=True):
-            ok = valid(left, right, length, gram)
-            later = dd > least[np.searchsorted(unique, ctx)] if len(ctx) else np.zeros(0, bool)
-            place = np.minimum(np.searchsorted(name, ctx), max(0, len(name) - 1))
-            told = np.where(name[place] == ctx, bits[place], 0) if len(name) else np.zeros(len(ctx), np.int64)
-            gone = ok & (later[:, None] | ((told[:, None].astype(np.int64) >> np.arange(width)[None, :]) & 1 == 1))
-            i, off = np.nonzero(gone)
-            start = at[i] - off
             change = np.zeros(len(s.data) + 1, np.int32)
-            np.add.at(change, start, 1)
-            np.add.at(change, start + length, -1)
+            for k in range(0, len(ctx), CHUNK):
+                c, lo, hi = ctx[k : k + CHUNK], left[k : k + CHUNK], right[k : k + CHUNK]
+                later = dd[k : k + CHUNK] > least[np.searchsorted(unique, c)]
+                place = np.minimum(np.searchsorted(name, c), max(0, len(name) - 1))
+                told = np.where(name[place] == c, bits[place], 0).astype(np.int64) if len(name) else np.zeros(len(c), np.int64)
+                i, off = np.nonzero(valid(lo, hi, length, gram) & (later[:, None] | ((told[:, None] >> np.arange(width)[None, :]) & 1 == 1)))
+                start = at[k : k + CHUNK][i] - off
+                change += np.bincount(start, minlength=len(change)).astype(np.int32)
+                change -= np.bincount(start + length, minlength=len(change)).astype(np.int32)
             removed = np.cumsum(change[:-1]) > 0
             for r in range(s.rows):
                 a, b = int(s.at[r]), int(s.at[r + 1])
