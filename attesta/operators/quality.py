@@ -60,7 +60,7 @@ def wire_records(records: DataFrame) -> DataFrame:
 def payloads(rows: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """A payload (url, kind, body) isn't empty or too large and is what its kind says."""
     hexed = F.hex(F.substring("body", 1, 12))
-    end = F.hex(F.expr("right(body, 12)"))
+    end = F.hex(F.expr("substring(body, greatest(1, octet_length(body) - 11), 12)"))
     image = (hexed.startswith("89504E470D0A1A0A") & end.endswith("49454E44AE426082")) | (hexed.startswith("FFD8FF") & end.endswith("FFD9")) | (hexed.startswith("52494646") & hexed.endswith("57454250"))
     json = F.coalesce(F.schema_of_variant(F.try_parse_json(F.decode("body", "UTF-8"))).startswith("OBJECT"), F.lit(False))
     size = F.octet_length("body")
