@@ -56,6 +56,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
+_LEAF = re.compile(r"(?:p|h[1-6]|li|pre|blockquote)\b")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -65,9 +66,14 @@ class Block(NamedTuple):
     text: str
     links: int  # characters of it inside links
     path: tuple[str, ...]
-    gone: bool
+    elements: tuple[int, ...]  # which elements of the page these are
+    gone_from: int  # the level of the path from which it goes; -1 if it stays
     article: int  # 2 inside an article, 1 inside main only
 
+    @property
+    def gone(self) -> bool:
+        return self.gone_from >= 0
+
 
 @lru_cache(maxsize=20_000)
 def _kind(name: str, attributes: str) -> tuple[str, bool, bool]:
@@ -85,8 +91,9 @@ def _kind(name: str, attributes: str) -> tuple[str, bool, bool]:
 def blocks(page: str) -> list[Block]:
     """Blocks of text of a page in their order."""
     out: list[Block] = []
-    # (name, path, gone, inside an article) of open block elements
-    open_: list[tuple[str, tuple[str, ...], bool, int]] = [("", (), False, 0)]
+    # (name, path, elements, level from which it goes, inside an article) of open block elements
+    open_: list[tuple[str, tuple[str, ...], tuple[int, ...], int, int]] = [("", (), (), -1, 0)]
+    opened = 0
     text: list[str] = []
     inline_gone: list[str] = []
     link, linked = 0, 0
@@ -97,8 +104,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                _, path, gone, article = open_[-1]
-                out.append(Block(words, min(linked, len(words)), path, gone, article))
+                _, path, elements, gone, article = open_[-1]
+                out.append(Block(words, min(linked, len(words)), path, elements, gone, article))
             text.clear()
         linked = 0
 
@@ -152,9 +159,12 @@ def blocks(page: str) -> list[Block]:
                         if open_[i][0] in ("ul", "ol", "menu"):
                             break
                 token, gone, head = _kind(name, m[3])
-                _, path, was, article = open_[-1]
+                _, path, elements, was, article = open_[-1]
                 if not m[3].endswith("/"):
-                    open_.append((name, (*path, token), was or gone or (head and not article), max(article, ARTICLE.get(name, 0) if not was and not gone else 0)))
+                    opened += 1
+                    if was < 0 and (gone or (head and not article)):
+                        was = len(path)
+                    open_.append((name, (*path, token), (*elements, opened), was, max(article, ARTICLE.get(name, 0) if was < 0 else 0)))
         elif name in ("td", "th"):
             text.append(" ")
         elif name == "a":
@@ -186,16 +196,15 @@ def occurrences(page: str) -> dict[str, list[int]]:
     outside of marked articles, and the token "" for the page."""
     found: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
     found[""][0] = 1
-    last: tuple[str, ...] = ()
+    seen: set[int] = set()
     for b in blocks(page):
-        depth = next((i for i, (x, y) in enumerate(zip(b.path, last, strict=False)) if x != y), min(len(b.path), len(last)))
         mass = 0 if b.gone else len(b.text) - b.links
-        for i in range(len(b.path)):
+        for i, element in enumerate(b.elements):
             own = found["/".join(b.path[: i + 1])]
-            own[0] += i >= depth
+            own[0] += element not in seen
             own[1] += mass
-            own[2] |= b.gone
-        last = b.path
+            own[2] |= 0 <= b.gone_from <= i
+        seen.update(b.elements)
         if not b.article and len(b.text) <= 300:
             found[f"T{_hash(b.text)}"][0] += 1
     return found
@@ -271,7 +280,7 @@ def deduce(tokens: list[dict]) -> Template:
         nested = all((p := m["token"].rpartition("/")[0]) == "" or p in valid or p in names for m in members)
         if len(members) > 1 and total == support and nested:
             valid |= {m["token"]: m for m in members}
-    return Template(frozenset(valid), _deepest({k: v["mass"] for k, v in valid.items() if not v["gone"]}), frozenset(t["token"] for t in tokens if t["token"].startswith("T")))
+    return Template(frozenset(valid), _deepest({k: v["mass"] for k, v in valid.items() if not v["gone"] and not _LEAF.match(k.rpartition("/")[2])}), frozenset(t["token"] for t in tokens if t["token"].startswith("T")))
 
 
 def _under(found: list[Block], token: str | None) -> list[Block]:
@@ -297,7 +306,7 @@ def main_text(page: str, template: Template | None) -> tuple[str, bool]:
     mass: Counter[str] = Counter()
     for b in found:
         for i in range(len(b.path)):
-            if i + 1 < len(b.path) or not re.match(r"(?:p|h[1-6]|li|pre|blockquote)\b", b.path[i]):
+            if i + 1 < len(b.path) or not _LEAF.match(b.path[i]):
                 mass["/".join(b.path[: i + 1])] += max(0, len(b.text) - b.links)
     best = _deepest(mass)
     kept = found if best is None else _under(found, best)
