@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.domain import VALUELESS, WIRE_KEYS, wire_keys
+from attesta.domain import VALUELESS, WIRE_KEYS, is_accepted, wire_keys
 from attesta.functions.text import stripped
-from attesta.operators.snapshots import Snapshot
+from attesta.operators.snapshots import Snapshot, overlay
 
 
 def decoded(text: Column) -> Column:
@@ -71,6 +71,36 @@ def to_wire(records_: DataFrame) -> DataFrame:
     return whole.select(F.regexp_replace(F.base64(F.encode(json, "UTF-8")), r"\s", "").alias("text"))
 
 
+def export(snapshot: Snapshot, baseline: DataFrame | None = None, *, allow_observed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(text, report): the wire text of a snapshot over a baseline (source, text), and one row (key, entity_id, outcome, missing)
+    for each entity of the snapshot.
+
+    Accepted readings overwrite the baseline, extensions fill; a record that lacks a key leaves the baseline's entry as it is;
+    ``lock`` is false where nothing says otherwise; entities of the baseline alone stay.  Without any whole record the text's
+    query stops."""
+    spark = snapshot.entities.sparkSession
+    base = records(baseline).where("wire_key is not null") if baseline is not None else None
+    schema = "entity_id long, wire_key string, text string"
+    base = base.select(F.col("entity").cast("long").alias("entity_id"), "wire_key", "text") if base is not None else spark.createDataFrame([], schema)
+    ok = F.col("entity_id").isNotNull() & is_accepted("identity_status", allow_observed)
+    known = snapshot.entities.where(ok)
+    readings = snapshot.readings.join(known.select("entity_id"), "entity_id", "left_semi")
+    mine = overlay(readings, base.limit(0).select("entity_id", "wire_key", F.lit(0).cast("long").alias("value")), base.limit(0).select("entity_id", "wire_key", F.lit(0).cast("long").alias("value")), allow_observed=allow_observed)
+    extras = known.select("entity_id", F.explode("extensions").alias("wire_key", "text")).where(~F.col("wire_key").isin(*WIRE_KEYS.values()))
+    level = lambda d, n: d.select("entity_id", "wire_key", "text", F.lit(n).alias("level"))
+    layers = level(mine.withColumn("text", F.col("value").cast("string")), 0).union(level(base.join(known.select("entity_id"), "entity_id", "left_semi"), 1)).union(level(extras, 2)).union(level(known.select("entity_id", F.lit("lock").alias("wire_key"), F.lit("false").alias("text")), 3))
+    merged = layers.groupBy("entity_id", "wire_key").agg(F.min_by("text", "level").alias("text"))
+    lacking = known.select("entity_id").join(merged.groupBy("entity_id").agg(F.collect_set("wire_key").alias("have")), "entity_id", "left")
+    lacking = lacking.select("entity_id", F.array_except(F.array(*map(F.lit, sorted(WIRE_KEYS.values()))), F.col("have")).alias("missing"))
+    whole = lacking.where(F.size("missing") == 0).select("entity_id")
+    final = merged.join(whole, "entity_id", "left_semi").union(base.join(whole, "entity_id", "left_anti").select("entity_id", "wire_key", "text"))
+    text = to_wire(final).crossJoin(whole.agg(F.count(F.lit(1)).alias("updated")))  # one row each
+    text = text.select(F.when(F.col("updated") > 0, F.col("text")).otherwise(F.raise_error(F.lit("no complete accepted record to export"))).alias("text"))
+    outcome = F.when(~ok, "identity not confirmed").when(F.size("missing") > 0, "incomplete record").otherwise("updated")
+    report = snapshot.entities.join(lacking, "entity_id", "left").select("key", "entity_id", outcome.alias("outcome"), F.when(ok, F.col("missing")).alias("missing"))
+    return text, report
+
+
 def from_extraction(rows: DataFrame) -> Snapshot:
     """The snapshot of consensus results: evidence images become sources, values and statuses stay."""
     source = lambda x: F.struct(F.lit("image").alias("kind"), x.alias("uri"), F.lit(None).cast("string").alias("details"))
