@@ -42,9 +42,10 @@ def _entries(files: DataFrame, dataset: str, region: str) -> DataFrame:
     return rows.select(F.lit(dataset).alias("dataset"), F.lit(region).alias("region"), F.col("key").try_cast("long").alias("id"), F.expr("try_variant_get(entry, '$.Name', 'string')").alias("name"), "entry", "sha256")
 
 
-def typed(catalogue_: DataFrame, schema: T.StructType) -> DataFrame:
-    """A catalogue's entries as columns of ``schema``, with their id."""
-    return catalogue_.select("id", F.from_json(F.to_json("entry"), schema).alias("e")).select("id", "e.*")
+def typed(catalogue_: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """A catalogue's entries as columns of ``schema`` after their id; an entry's own Id is the same and left out."""
+    rows = catalogue_.select("id", F.from_json(F.to_json("entry"), schema).alias("e"))
+    return rows.select("id", *(F.col("e")[c].alias(c) for c in rows.schema["e"].dataType.names if c.lower() != "id"))
 
 
 def account(spark: SparkSession, path: str) -> Snapshot:
