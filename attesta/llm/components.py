@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import written
+from attesta.llm.common import apart, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large and one small star over edges (a > b)."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(apart("a"), F.least("a", "m").alias("m"))
     large = both.join(least, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    least = large.groupBy("a").agg(F.min("b").alias("m")).select(apart("a"), "m")
     small = large.join(least, "a")
     return small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(small.select("a", F.col("m").alias("b"))).distinct()
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import importable, partitions
+from attesta.llm.common import apart, importable, written
 
 # ---- fixed values --------------------------------------------------------------------------------------------------
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead title tr ul".split())
@@ -241,12 +241,10 @@ def templates(pages: DataFrame) -> DataFrame:
     some = pages.select(host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where("host <> ''")
     # a text that one page of a task has says nothing, and most do: summed up before they are told apart
     found = some.mapInArrow(run, _SCHEMA).groupBy("host", "token").agg(F.sum("support").alias("support"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("mass").alias("mass"), F.max("gone").alias("gone"))
-    from attesta.llm.common import written
-
     found = written(found.where("support > 1"), "tokens")
     roots = found.where("token = ''").select("host", F.col("support").alias("pages"))
     often = found.join(roots, "host").where(F.col("support") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * SUPPORT)))  # at most 1 / SUPPORT times the tokens of a page
-    return often.groupBy("host").agg(F.collect_list(F.struct("token", "support", "total", "vector", "mass", "gone")).alias("tokens"))
+    return often.groupBy("host").agg(F.collect_list(F.struct("token", "support", "total", "vector", "mass", "gone")).alias("tokens")).select(apart("host"), "tokens")
 
 
 def _rows(held: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
