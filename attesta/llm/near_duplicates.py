@@ -7,9 +7,9 @@
 2. ``BANDS`` bands of ``ROWS`` components.  Documents that share a band are tied to the least document of that bucket, so a
    bucket of n gives n - 1 ties, never all pairs; connected ties are a family.  A pair of similarity 0.8 misses all bands with
    a probability of about five in a million.
-3. In a family all pairs are compared exactly, by products of incidence matrices; a large family is dealt into chunks and
-   every pair of chunks is one unit of bounded size.  Only a spanning set of links of at least ``SIMILARITY`` (Jaccard, over
-   the sets of shingles) leaves a unit.
+3. In a family documents are compared exactly, by products of incidence matrices in units of bounded size.  Of a large family
+   each chunk meets a few hubs, and only what these don't join to the largest part meets the whole family.  Only a spanning
+   set of links of at least ``SIMILARITY`` (Jaccard, over the sets of shingles) leaves a unit.
 4. Connected links are the classes.
 
 Only one document of each group of equal texts takes part in 1-3 beyond its signature.  Defined results: words are separated
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import U64, Slice, SpanHash, documents, mix, partitions, slices, texts, windows, words, written
+from attesta.llm.common import U64, Slice, SpanHash, apart, documents, mix, partitions, slices, texts, windows, words, written
 from attesta.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 #: A chunk of a large family: so many documents, or bytes of text.
 CHUNK_DOCS, CHUNK_BYTES = 400, 8 << 20
+#: Documents of a large family that every chunk of it meets.
+HUBS = 8
 
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
@@ -180,29 +182,57 @@ def _verified(units: DataFrame, n: int, similarity: float) -> DataFrame:
     return units.select("f", "i", "j", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
+def _units(parts: DataFrame, held: DataFrame) -> DataFrame:
+    """``parts`` (f, i, j, doc_id) with texts, units whole in their tasks."""
+    return parts.join(held.select("f", "doc_id", "text"), ["f", "doc_id"]).repartition(partitions(held.sparkSession), "f", "i", "j").sortWithinPartitions("f", "i", "j", "doc_id")
+
+
+def _links(held: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect what is connected in each family of ``held`` (f, doc_id, n_bytes, weight, text).
+
+    A family of one chunk is a unit.  Of a larger one, first each chunk meets a few hubs, the documents whose bands met the most
+    others, as the original of many copies does; what then isn't in the family's largest part meets all of the family.  Every
+    link outside of that part has an end there, so none is lost, and what is in the part isn't compared again."""
+    chunks = held.groupBy("f").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS), F.ceil(F.sum("n_bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
+    chunks = written(chunks, "chunks")
+    placed = held.select("f", "doc_id", "weight").join(chunks.select(apart("f"), "chunks"), "f").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    hubs = placed.where("chunks > 1").groupBy("f", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HUBS)).alias("h")).agg(F.max_by("doc_id", "weight").alias("doc_id"))
+    spread = hubs.join(chunks, "f").select("f", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(-1).alias("j"), "doc_id")
+    first = placed.select("f", F.col("chunk").alias("i"), F.lit(-1).alias("j"), "doc_id").union(spread)
+    links = written(_verified(_units(first, held), n, similarity), "links")
+    if not chunks.where("chunks > 1").limit(1).count():
+        return links
+
+    large = placed.where("chunks > 1")
+    joined = components(links.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi"))
+    part = large.join(joined.select(F.col("vertex").alias("doc_id"), "root"), "doc_id", "left").select("f", "doc_id", "chunks", "chunk", F.coalesce("root", "doc_id").alias("root"))
+    part = written(part, "parts")
+    most = part.groupBy("f", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("f").agg(F.max_by("root", F.struct("size", "root")).alias("most"))
+    rest = part.join(most.select(apart("f"), "most"), "f").where("root <> most").select("f", "doc_id", "chunks")
+    groups = rest.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("int").alias("groups"))
+    own = rest.join(groups.select(apart("f"), "groups"), "f").select("f", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("groups")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "doc_id")
+    every = part.join(groups.select(apart("f"), "groups"), "f").select("f", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("chunk").alias("j"), "doc_id")
+    return links.union(_verified(_units(own.union(every), held), n, similarity))
+
+
 def classes(docs: DataFrame, *, n: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) of every row that has a doc_id."""
-    tasks = partitions(docs.sparkSession)
     sketch = written(sketched(docs, n=n, bands=bands, rows=rows), "sketches")
     groups = sketch.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))  # one document of each text
     one = sketch.join(groups, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
 
     keyed = one.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    ties = keyed.join(buckets, "key").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    tied = components(ties)
-    family = written(tied.select(F.col("vertex").alias("doc_id"), F.col("root").alias("f")).union(tied.select(F.col("root").alias("doc_id"), F.col("root").alias("f")).distinct()), "families")
-
-    sized = family.join(one.select("doc_id", "digest", "n_bytes"), "doc_id")
-    chunks = sized.groupBy("f").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS), F.ceil(F.sum("n_bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
-    member = sized.join(chunks, "f").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    member = member.select("f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "digest")
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select(apart("key"), "least", "size")
+    met = written(keyed.join(buckets, "key").groupBy("doc_id", "least").agg(F.sum("size").alias("weight")), "ties")
+    tied = components(met.where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    family = tied.select(F.col("vertex").alias("doc_id"), F.col("root").alias("f")).union(tied.select(F.col("root").alias("doc_id"), F.col("root").alias("f")).distinct())
+
     body = texts(docs).where("doc_id is not null").select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    units = member.join(body, ["doc_id", "digest"]).repartition(tasks, "f", "i", "j").sortWithinPartitions("f", "i", "j", "doc_id")
-    near = components(_verified(units, n, similarity))
+    weight = met.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    held = family.join(one.select("doc_id", "digest", "n_bytes"), "doc_id").join(weight, "doc_id").join(body, ["doc_id", "digest"]).select("f", "doc_id", "n_bytes", "weight", "text")
+    near = components(_links(written(held, "families"), n, similarity))
 
-    roots = groups.join(near, groups["doc_id"] == near["vertex"], "left").select("digest", F.coalesce("root", "doc_id").alias("class_id"))
+    roots = groups.join(near, groups["doc_id"] == near["vertex"], "left").select(apart("digest"), F.coalesce("root", "doc_id").alias("class_id"))
     return sketch.select("doc_id", "digest").join(roots, "digest").select("doc_id", "class_id")
 
 

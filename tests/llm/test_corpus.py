@@ -310,7 +310,9 @@ def brute_removed(rows, n=50):
 
 
 def test_repeated_strings(odd, empty):
-    assert Counter(tuple(r) for r in suffix_dedup.deduplicated(odd).collect()) == brute_removed(plain(odd))
+    want = brute_removed(plain(odd))
+    for share in (suffix_dedup.WIDE, 0.0, 0.2, 2.0):  # some, all, many and no anchors are wide
+        assert Counter(tuple(r) for r in suffix_dedup.deduplicated(odd, wide_share=share).collect()) == want
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
@@ -346,7 +348,9 @@ def brute_classes(rows, n=5, least=0.8):
     return {d: find(d) for d, _ in rows}
 
 
-def test_near_duplicates(spark, empty):
+@pytest.mark.parametrize("chunk", [400, 6])
+def test_near_duplicates(spark, empty, monkeypatch, chunk):
+    monkeypatch.setattr(near_duplicates, "CHUNK_DOCS", chunk)
     r = random.Random(6)
     made = [" ".join(r.choice(WORDS) + str(r.randint(0, 50)) for _ in range(r.randint(1, 80))) for _ in range(15)]
     rows = []
@@ -367,12 +371,18 @@ def test_near_duplicates(spark, empty):
 
 def test_large_families_are_cut_into_units(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "CHUNK_DOCS", 5)
+    monkeypatch.setattr(near_duplicates, "HUBS", 2)
     base = [f"w{i}" for i in range(60)]
     rows = []
-    for i in range(40):
+    r = random.Random(11)
+    for i in range(60):
         w = list(base)
-        w[(i * 7) % 60] = f"own{i}"
+        for k in range(r.choice([0, 1, 1, 2, 2, 3])):
+            w[r.randrange(60)] = f"own{i}-{k}"
         rows.append((i, " ".join(w)))
+    # a part of its own that only hangs on the family by bands
+    other = [*base[:40], *(f"z{i}" for i in range(20))]
+    rows += [(100 + i, " ".join([*other[: 50 + i], f"y{i}"])) for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert dict(near_duplicates.classes(df).collect()) == brute_classes(rows)
 
