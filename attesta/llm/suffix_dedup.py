@@ -14,7 +14,10 @@ No machine can sort all suffixes of a corpus, and none has to: two equal strings
    by previous smaller documents in that order the strings that have an earlier match.  It answers with a bit per string.
 3. Blocks apply the answers to all documents that hold the context.
 
-What a bucket gets of one passage is at most one row a block, however many documents hold it.  Defined results: a null or
+What a bucket gets of one passage is at most one row a block, however many documents hold it.  At a passage's ends, though,
+every document has a context of its own around the same anchor.  An anchor that most blocks have is therefore *wide*: around
+it blocks send strings instead of contexts, each distinct one once as a hash of 128 bits, dealt by that hash, so that no
+group grows with the number of documents that hold a passage.  Defined results: a null or
 empty text has 0 bytes and the hash of no bytes; texts of fewer than ``LENGTH`` bytes lose nothing; rows with equal doc_id do
 not remove one another; rows without doc_id neither remove nor lose anything.
 """
@@ -34,6 +37,8 @@ from attesta.llm.common import U64, Slice, SpanHash, documents, mix, partitions,
 LENGTH, GRAM = 50, 24
 #: Bytes of text, and contexts, that a kernel takes at once: its arrays then stay in a processor's cache.
 SLICE, CHUNK = 64 << 10, 8192
+#: An anchor is wide if so many of the blocks have it.
+WIDE = 0.9
 
 
 def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -66,7 +71,7 @@ def anchors(s: Slice, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     # the largest of the minima of the windows that hold a gram is the gram's own value exactly if one of them selects it
     most = _slide(least[::-1], width, np.maximum)[::-1]
     at = np.flatnonzero((most == value) & (value != top))
-    return at, value[at]
+    return at, mix(value[at])  # least values crowd at the low end; mixed again, they spread over the buckets
 
 
 class Contexts:
@@ -143,6 +148,26 @@ def earlier(name: np.ndarray, anchor: np.ndarray, doc: np.ndarray, sides: np.nda
     return bits
 
 
+class Strings:
+    """The strings of ``length`` bytes around anchors of a slice, each place once: where they start, their document and hashes."""
+
+    def __init__(self, s: Slice, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> None:
+        row = np.searchsorted(s.at, at, "right") - 1
+        start = at[:, None] - np.arange(length - gram + 1)[None, :]
+        inside = (start >= s.at[row][:, None]) & (start + length <= s.at[row + 1][:, None])
+        self.start = np.unique(start[inside])
+        self.row = np.searchsorted(s.at, self.start, "right") - 1
+        self.one, self.two = (SpanHash(s.data, other).of(self.start, self.start + length) if len(self.start) else np.zeros(0, U64) for other in (False, True))
+
+
+def _least(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by string and document, for each entry in that order the least document of its string)."""
+    order = np.lexsort((doc, two, one))
+    o, t = one[order], two[order]
+    head = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])])) if len(o) else np.zeros(0, np.int64)
+    return order, np.repeat(doc[order][head], np.diff(np.append(head, len(o))))
+
+
 def longest_previous_factor(data: np.ndarray) -> np.ndarray:
     """For each place of ``data`` the length of the longest prefix of its suffix that also starts at an earlier place: by the
     suffix array (prefix doubling), its common prefixes, and previous and next smaller places in suffix order."""
@@ -226,10 +251,10 @@ def _firsts(messages: pa.Table) -> set[int]:
     return set(messages.column("doc_id").drop_null().to_pylist())
 
 
-def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wide_share: float = WIDE, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
     tasks = partitions(docs.sparkSession)
-    blocks, buckets = 4 * tasks, 2 * tasks
+    blocks, buckets = 2 * tasks, tasks
     width = length - gram + 1
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     dealt = texts(docs).select(block, "doc_id", "text").groupBy("block")
@@ -267,16 +292,19 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         size = np.diff(np.append(head, len(v)))
         shared = np.repeat((size > 1) | (np.maximum.reduceat(several[order], head) > 0), size)
+        broad = np.zeros(len(value), bool)
+        broad[order] = np.repeat(size >= max(2, wide_share * blocks), size)
         at = np.sort(order[shared])
         cut = np.searchsorted(source[at], np.arange(len(low) + 1))
         used = np.flatnonzero(np.diff(cut))
-        return pa.table({"block": batch.column("block").take(pa.array(used)), "bucket": batch.column("bucket").take(pa.array(used)), "low": _binary([value[at[cut[k] : cut[k + 1]]] for k in used]), "doc_id": pa.nulls(len(used), pa.int64())})
+        parts = [at[cut[k] : cut[k + 1]] for k in used]
+        return pa.table({"block": batch.column("block").take(pa.array(used)), "bucket": batch.column("bucket").take(pa.array(used)), "low": _binary([value[x] for x in parts]), "wide": _binary([value[x[broad[x]]] for x in parts]), "doc_id": pa.nulls(len(used), pa.int64())})
 
-    shared = offered.groupBy("bucket").applyInArrow(share, "block int, bucket int, low binary, doc_id long")
+    shared = offered.groupBy("bucket").applyInArrow(share, "block int, bucket int, low binary, wide binary, doc_id long")
 
     # 2: which strings of shared contexts have an earlier match
-    def wanted(messages: pa.Table) -> np.ndarray:
-        parts = [np.frombuffer(x, "<u4").astype(U64) | (U64(b) << U64(32)) for b, x in zip(messages.column("bucket").to_pylist(), messages.column("low").to_pylist(), strict=True) if x is not None]
+    def wanted(messages: pa.Table, which: str) -> np.ndarray:
+        parts = [np.frombuffer(x, "<u4").astype(U64) | (U64(b) << U64(32)) for b, x in zip(messages.column("bucket").to_pylist(), messages.column(which).to_pylist(), strict=True) if x is not None]
         return np.sort(np.concatenate(parts)) if parts else np.zeros(0, U64)
 
     def code(h: np.ndarray) -> np.ndarray:
@@ -287,9 +315,13 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         return kept[at] == x if len(kept) else np.zeros(len(x), bool)
 
     def contexts(docs_: pa.Table, messages: pa.Table) -> pa.Table:
-        want, parts = wanted(messages), []
+        want, broad, parts, strings = wanted(messages, "low"), wanted(messages, "wide"), [], []
         for s, ids, at, h in _Block(docs_, _firsts(messages), length, gram):
-            hit = among(code(h), want)
+            wide = among(code(h), broad)
+            if wide.any():
+                x = Strings(s, at[wide], length, gram)
+                strings.append((x.one, x.two, ids[x.row]))
+            hit = among(code(h), want) & ~wide
             c = Contexts(s, at[hit], length, gram)
             parts.append((c.hash, h[hit], ids[c.row], c.left, c.right, c.bytes))
         if not parts:
@@ -303,19 +335,46 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         used = np.flatnonzero(np.diff(first))
         own = docs_.column("block")[0].as_py() if docs_.num_rows else -1
         columns = {"name": name, "anchor": h, "doc": d, "sides": (left * 64 + right).astype("<u2"), "raw": raw}
-        out = {"bucket": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), own, np.int32))}
+        out = {"bucket": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), own, np.int32)), "strings": pa.array(np.zeros(len(used), bool))}
         for k, v in columns.items():
             v = v[order]
             out[k] = _binary([v[first[b] : first[b + 1]] for b in used])
-        return pa.table(out)
+        if not strings:
+            return pa.table(out)
+        one, two, d = (np.concatenate(x) for x in zip(*strings, strict=True))
+        order, _ = _least(one, two, d)
+        one, two, d = one[order], two[order], d[order]
+        head = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        one, two, d = one[head], two[head], d[head]  # the least document of each string
+        order, first = _by_bucket(one, buckets)
+        used = np.flatnonzero(np.diff(first))
+        cut = lambda v: _binary([v[order][first[b] : first[b + 1]] for b in used])
+        none = _binary([np.zeros(0, np.uint8)] * len(used))
+        more = {"bucket": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), own, np.int32)), "strings": pa.array(np.ones(len(used), bool)), "name": cut(one), "anchor": cut(two), "doc": cut(d), "sides": none, "raw": none}
+        return pa.concat_tables([pa.table(out), pa.table(more)])
 
     nothing = F.lit(None)
-    messages = shared.unionByName(firsts.select("block", nothing.cast("int").alias("bucket"), nothing.cast("binary").alias("low"), "doc_id"))
-    sent = dealt.cogroup(messages.groupBy("block")).applyInArrow(contexts, "bucket int, block int, name binary, anchor binary, doc binary, sides binary, raw binary")
+    messages = shared.unionByName(firsts.select("block", nothing.cast("int").alias("bucket"), nothing.cast("binary").alias("low"), nothing.cast("binary").alias("wide"), "doc_id"))
+    sent = dealt.cogroup(messages.groupBy("block")).applyInArrow(contexts, "bucket int, block int, strings boolean, name binary, anchor binary, doc binary, sides binary, raw binary")
+
+    def match_strings(batch: pa.RecordBatch) -> pa.Table:
+        one, two, doc = ([np.frombuffer(x.as_py(), k) for x in batch.column(c)] for c, k in (("name", "<u8"), ("anchor", "<u8"), ("doc", "<i8")))
+        source = np.repeat(np.arange(len(one)), [len(x) for x in one])
+        one, two, doc = np.concatenate(one), np.concatenate(two), np.concatenate(doc)
+        order, least = _least(one, two, doc)
+        at = np.sort(order[least < doc[order]])
+        cut = np.searchsorted(source[at], np.arange(batch.num_rows + 1))
+        used = np.flatnonzero(np.diff(cut))
+        parts = [at[cut[j] : cut[j + 1]] for j in used]
+        return pa.table({"block": batch.column("block").take(pa.array(used)), "doc_id": pa.nulls(len(used), pa.int64()), "name": _binary([one[x] for x in parts]), "anchor": _binary([two[x] for x in parts]), "bits": pa.nulls(len(used), pa.binary())})
 
     def match(group: pa.Table) -> pa.Table:
         batch = _table(group)
+        told = np.asarray(batch.column("strings"))
+        found = [f(batch.filter(pa.array(mine))) for f, mine in ((match_contexts, ~told), (match_strings, told)) if mine.any()]
+        return pa.concat_tables(found)
 
+    def match_contexts(batch: pa.RecordBatch) -> pa.Table:
         def read(c: str, kind: str) -> list[np.ndarray]:
             return [np.frombuffer(x.as_py(), kind) for x in batch.column(c)]
 
@@ -341,7 +400,10 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         return pa.table(out)
 
     answers = sent.groupBy("bucket").applyInArrow(match, "block int, doc_id long, name binary, anchor binary, bits binary")
-    answers = answers.unionByName(firsts.select("block", "doc_id", *(nothing.cast("binary").alias(c) for c in ("name", "anchor", "bits"))))
+    blank = lambda *names: [nothing.cast("binary").alias(c) for c in names]
+    answers = answers.select("*", nothing.cast("int").alias("bucket"), *blank("wide"))
+    answers = answers.unionByName(firsts.select("block", "doc_id", nothing.cast("int").alias("bucket"), *blank("name", "anchor", "bits", "wide")))
+    answers = answers.unionByName(shared.where(F.octet_length("wide") > 0).select("block", "doc_id", "bucket", "wide", *blank("name", "anchor", "bits")))
 
     # 3: removal
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
@@ -352,10 +414,12 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         if batch is None:
             return pa.table([pa.array([], t) for t in types], names)
 
-        def read(c: str, kind: str) -> np.ndarray:
-            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in messages.column(c).to_pylist() if x is not None)])
+        def read(c: str, kind: str, strings: bool = False) -> np.ndarray:
+            rows = zip(messages.column(c).to_pylist(), messages.column("bits").to_pylist(), strict=True)
+            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x, b in rows if x is not None and (b is None) == strings)])
 
         name, anchor, bits = read("name", "<u8"), read("anchor", "<u8"), read("bits", "<u4")
+        broad, gone_one, gone_two = wanted(messages, "wide"), read("name", "<u8", True), read("anchor", "<u8", True)
         order = np.argsort(name)
         name, bits, anchor = name[order], bits[order], np.unique(anchor)
         every = list(_Block(docs_, firsts_, length, gram))
@@ -365,9 +429,11 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         o = np.lexsort((d, h))
         h, d = h[o], d[o]
         several = np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
-        parts = []
+        parts, strings = [], []
         for s, ids, at, hh in every:
-            hit = among(hh, anchor) | among(hh, several)
+            wide = among(code(hh), broad)
+            strings.append((Strings(s, at[wide], length, gram), ids))
+            hit = (among(hh, anchor) | among(hh, several)) & ~wide
             c = Contexts(s, at[hit], length, gram)
             parts.append((c.hash, ids[c.row], at[hit], c.left, c.right))
         own = np.concatenate([p[0] for p in parts])
@@ -375,9 +441,19 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wit
         o = np.lexsort((docs_of, own))
         first = np.concatenate([[True], own[o][1:] != own[o][:-1]]) if len(o) else np.zeros(0, bool)
         unique, least = own[o][first], docs_of[o][first]
-        rows = []
-        for (s, ids, _, _), (ctx, dd, at, left, right) in zip(every, parts, strict=True):
+        # strings around wide anchors: an answer stands for a document before all of this block's
+        one, two = (np.concatenate([getattr(x, c) for x, _ in strings] + [g]) for c, g in (("one", gone_one), ("two", gone_two)))
+        owner = np.concatenate([ids[x.row] for x, ids in strings] + [np.full(len(gone_one), np.iinfo(np.int64).min)])
+        o, first_doc = _least(one, two, owner)
+        string_gone = np.zeros(len(one), bool)
+        string_gone[o] = first_doc < owner[o]
+        rows, done = [], 0
+        for (s, ids, _, _), (ctx, dd, at, left, right), (x, _) in zip(every, parts, strings, strict=True):
             change = np.zeros(len(s.data) + 1, np.int32)
+            start = x.start[string_gone[done : done + len(x.start)]]
+            done += len(x.start)
+            change += np.bincount(start, minlength=len(change)).astype(np.int32)
+            change -= np.bincount(start + length, minlength=len(change)).astype(np.int32)
             for k in range(0, len(ctx), CHUNK):
                 c, lo, hi = ctx[k : k + CHUNK], left[k : k + CHUNK], right[k : k + CHUNK]
                 later = dd[k : k + CHUNK] > least[np.searchsorted(unique, c)]
