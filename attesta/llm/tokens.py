@@ -22,6 +22,8 @@ import regex
 
 from attesta.llm.common import Slice, SpanHash, slices
 
+#: Bytes of text encoded at once: fewer, larger slices find more pieces equal before they are looked up.
+ENCODED_BYTES = 1 << 20
 #: Pieces that a worker keeps (about 25 bytes each); beyond that it starts anew.
 KEPT_PIECES = 4_000_000
 #: Characters from here on take the library's own way, for classes of later Unicode versions may differ.
@@ -142,7 +144,7 @@ def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[Sli
     """For each slice of a batch with a column ``text``: the slice, its documents' ids each with ``end_id`` after them, and
     where each document's ids start."""
     tool = encoder(path)
-    for s in slices(batch.column("text")):
+    for s in slices(batch.column("text"), ENCODED_BYTES):
         ids, first = tool.encode(s)
         yield s, np.insert(ids, first[1:], np.array(end_id, ids.dtype)), first + np.arange(len(first))
 
