@@ -1,9 +1,9 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-1. Each document's distinct shingles of ``WORDS`` words get a damped count as weight (1 + floor(log2 of the count)).  Each
-   shingle is a Poisson process whose rate is its weight: its arrivals, from a generator seeded by the shingle, fall on random
-   components, and a component keeps the shingle that arrives first.  A document stops when no further arrival can be first
-   anywhere.  Two documents agree in a component with their probability Jaccard similarity.
+1. Each distinct shingle of ``WORDS`` words of a document is a Poisson process whose rate is its weight: its arrivals, from a
+   generator seeded by the shingle, fall on random components, and a component keeps the shingle that arrives first.  A document
+   stops when no further arrival can be first anywhere.  Two documents agree in a component with their probability Jaccard
+   similarity; links are of sets, so all weights are 1, whatever the counts, and that is the Jaccard similarity of step 3.
 2. ``BANDS`` bands of ``ROWS`` components.  Documents that share a band are tied to the least document of that bucket, so a
    bucket of n gives n - 1 ties, never all pairs; connected ties are a family.  A pair of similarity 0.8 misses all bands with
    a probability of about five in a million.
@@ -101,8 +101,8 @@ def sketched(docs: DataFrame, *, n: int = WORDS, bands: int = BANDS, rows: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column("text")):
-                row, h, count = shingles(s, n)
-                keys = band_keys(signatures(row, h, 1.0 + np.floor(np.log2(count)), s.rows, bands * rows), bands, rows)
+                row, h, _ = shingles(s, n)
+                keys = band_keys(signatures(row, h, np.ones(len(h)), s.rows, bands * rows), bands, rows)
                 has = np.bincount(row, minlength=s.rows) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)), pa.array(keys[has].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.start, s.rows) for c in ("doc_id", "digest")), pa.array(np.diff(s.at)), lists], ["doc_id", "digest", "n_bytes", "bands"])

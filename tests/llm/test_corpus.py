@@ -387,6 +387,18 @@ def test_large_families_are_cut_into_units(spark, monkeypatch):
     assert dict(near_duplicates.classes(df).collect()) == brute_classes(rows)
 
 
+def test_repeats_of_shared_shingles_lose_no_link(spark):
+    rows = []
+    for i in range(40):
+        a = [f"a{i}-{k}" for k in range(240)]
+        block = [f"b{i}-{k}" for k in range(60)]
+        rows += [(2 * i, " ".join(a + block)), (2 * i + 1, " ".join([f"c{i}-{k}" for k in range(16)] + a[16:] + block * 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(40))
+    assert dict(near_duplicates.classes(df).collect()) == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 300).astype(np.uint64)
