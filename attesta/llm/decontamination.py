@@ -1,12 +1,13 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 An item of m characters with an error budget of k edits is cut into k + 1 pieces; where the item occurs with at most k edits,
-one piece at least occurs exactly.  All pieces of all items are found in one pass over a text (Aho-Corasick); hits of an item
-on neighbouring diagonals make one window, which Myers' bit-parallel algorithm verifies.
+one piece at least occurs exactly.  All pieces of all items are found in one pass over a text (Aho-Corasick).  Pieces stand in
+groups of two (the last of an odd number in a group of three), and by the same principle one group of g pieces occurs with
+fewer than g edits, so a hit whose group doesn't is dropped.  The other hits of an item on neighbouring diagonals make one
+window, which Myers' bit-parallel algorithm verifies.
 
-Items and texts are compared in lower case with runs of white space as one space.  The budget is ``RATE`` of the length, but
-never so large that a piece has fewer than ``PIECE`` characters; items of fewer than ``SHORTEST`` characters say nothing about
-a document and are left out.
+Items and texts are compared in lower case with runs of white space as one space.  The budget is ``RATE`` of the length at
+every length, so pieces have some nine characters, and items of fewer than ten characters occur exactly or not at all.
 
 The items are the query set: they are taken in blocks of bounded size, each block against every document, so what a task
 holds does not grow with the benchmark.  Documents are not shuffled.  Defined results: null and empty texts and items match
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import documents, texts
 
-RATE, PIECE, SHORTEST = 0.1, 16, 32
+RATE = 0.1
 #: Characters of items in a block.
 BLOCK = 2_000_000
 
@@ -81,6 +82,17 @@ def myers(pattern: str, text: str) -> Iterator[tuple[int, int]]:
         yield end, distance
 
 
+def one_edit(piece: str, text: str) -> bool:
+    """Whether ``text`` starts with ``piece`` up to one edit."""
+    if text.startswith(piece):
+        return True
+    i, n = 0, len(text)
+    while i < n and piece[i] == text[i]:
+        i += 1
+    rest = piece[i + 1 :]
+    return text.startswith(rest, i + 1) or text.startswith(rest, i) or text.startswith(piece[i:], i + 1)
+
+
 class Match(NamedTuple):
     item: int
     distance: int
@@ -92,22 +104,35 @@ class Match(NamedTuple):
 class Matcher:
     """Finds items in texts; ``items`` are (id, text)."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, piece: int = PIECE, shortest: int = SHORTEST) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE) -> None:
         import ahocorasick
 
-        self.items = [(i, n) for i, t in items if len(n := normal(t or "")) >= shortest]
-        self.budget = [max(0, min(int(rate * len(t)), len(t) // piece - 1)) for _, t in self.items]
-        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.items = [(i, n) for i, t in items if (n := normal(t or ""))]
+        self.budget = [int(rate * len(t)) for _, t in self.items]
+        # piece -> (item, its place there, where its group begins and ends; the group's other piece, reversed if it comes first)
+        found: dict[str, list[tuple[int, int, int, int, str]]] = defaultdict(list)
         for k, (_, t) in enumerate(self.items):
             n = self.budget[k] + 1
+            cut = [j * len(t) // n for j in range(n + 1)]
             for j in range(n):
-                a, b = j * len(t) // n, (j + 1) * len(t) // n
-                found[t[a:b]].append((k, a))
+                first = max(0, min(j - j % 2, n - 3 if n % 2 else n))
+                last = n if n % 2 and first == n - 3 else min(first + 2, n)
+                a, b, low, high = cut[j], cut[j + 1], cut[first], cut[last]
+                other = "" if last - first != 2 else t[b:high] if j == first else t[low:a][::-1]
+                found[t[a:b]].append((k, a, low, high, other))
         self.automaton = ahocorasick.Automaton()
         for p, where in found.items():
             self.automaton.add_word(p, (len(p), where))
         self.automaton.make_automaton()
 
+    def _near(self, text: str, at: int, end: int, k: int, a: int, low: int, high: int, other: str) -> bool:
+        """Whether the group of a piece that stands at at..end in text occurs there with fewer edits than it has pieces."""
+        if other:
+            return one_edit(other, text[end : end + len(other) + 1] if a == low else text[max(0, at - len(other) - 1) : at][::-1])
+        if self.budget[k] < 3:  # the group is the item
+            return True
+        return any(d < 3 for _, d in myers(self.items[k][1][low:high], text[max(0, at - (a - low) - 2) : at + high - a + 2]))
+
     def _verify(self, k: int, text: str, low: int, high: int) -> tuple[int, int, int] | None:
         """(distance, start, end) of item k in text, for matches that start near low..high."""
         pattern, budget = self.items[k][1], self.budget[k]
@@ -128,8 +153,10 @@ class Matcher:
         low = normal(text)
         diagonals: dict[int, list[int]] = defaultdict(list)
         for end, (size, where) in self.automaton.iter(low):
-            for k, offset in where:
-                diagonals[k].append(end + 1 - size - offset)
+            at = end + 1 - size
+            for k, a, *group in where:
+                if self._near(low, at, end + 1, k, a, *group):
+                    diagonals[k].append(at - a)
         out, back = [], None
         for k, starts in sorted(diagonals.items()):
             starts.sort()
@@ -147,8 +174,8 @@ class Matcher:
 
 
 @lru_cache(maxsize=4)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float, piece: int, shortest: int) -> Matcher:
-    return Matcher(list(items), rate, piece, shortest)
+def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
+    return Matcher(list(items), rate)
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[tuple[tuple[int, str], ...]]:
@@ -161,7 +188,7 @@ def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[tuple[tuple[int,
         yield tuple(sorted((r[0], r[1]) for r in part.collect()))  # about ``size`` characters
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, piece: int = PIECE, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, distance, start, end, n_places): one row for each item that a document holds."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, start long, end long, n_places int"
@@ -170,7 +197,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, piece:
         held = spark.sparkContext.broadcast(items)  # one block
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tool = _matcher(held.value, rate, piece, shortest)
+            tool = _matcher(held.value, rate)
             for batch in batches:
                 rows = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for m in tool.matches(t.as_py())]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
@@ -182,14 +209,14 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, piece:
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, piece: int = PIECE, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """``docs`` without the documents that hold an item; all columns, no shuffle."""
     place = docs.columns.index("text")
     for items in blocks(benchmark, block):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            tool = _matcher(held.value, rate, piece, shortest)
+            tool = _matcher(held.value, rate)
             for batch in batches:
                 yield batch.filter(pa.array(np.array([not tool.matches(t.as_py() or "") for t in batch.column(place)], bool)))
 

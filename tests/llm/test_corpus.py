@@ -488,6 +488,23 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.clean(odd, bench.where("false")).count() == odd.count()
 
 
+def test_the_budget_is_a_tenth_of_every_item():
+    r = random.Random(12)
+    letters = "abcdefghij "
+    made = lambda n: decontamination.normal("".join(r.choice(letters) for _ in range(n + 20)))[:n].strip()
+    items = [(n, made(n)) for n in [*range(3, 60, 4), 90, 103, 233, 394]]
+    tool = decontamination.Matcher(items)
+    for i, p in items:
+        for edits in {0, len(p) // 20, len(p) // 10, len(p) // 10 + 1}:
+            x = list(p)
+            for k in range(edits):  # spread over the item, so that few pieces stay whole
+                at = (2 * k + 1) * len(p) // (2 * edits)
+                x[at] = r.choice(["Z", "", x[at] + "z"])
+            text = f"{made(30)} {''.join(x)} {made(30)}"
+            want = {(j, d) for j, q in items if (d := min(edit_ends(q, decontamination.normal(text)))) <= len(q) // 10}
+            assert {(m.item, m.distance) for m in tool.matches(text)} == want, (i, edits)
+
+
 # ---- 9: language ---------------------------------------------------------------------------------------------------
 
 
