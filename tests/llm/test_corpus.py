@@ -540,6 +540,17 @@ def test_language_cases(spark, odd, empty):
     assert {r.lang_pred for r in language.predicted(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_the_model_keeps_every_gram(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, "".join(map(chr, r.integers(0x4E00, 0x9000, 30_000))), "zz") for i in range(50)]
+    learned = language.learnable(spark.createDataFrame([(i, "a", "zz") for i, _, _ in rows], "doc_id long, text string, lang string"))
+    ids = {x.doc_id for x in learned.select("doc_id").collect()}
+    grams = {t[k : k + 4] for i, x, _ in rows if i in ids for t in ["\0\0\0" + x] for k in range(len(x))}
+    assert len(grams) > 1_000_000
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.grams[-1].keys) == len(grams)
+
+
 # ---- whole queries and the pipeline --------------------------------------------------------------------------------
 
 
