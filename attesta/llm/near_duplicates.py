@@ -14,7 +14,8 @@
 
 Only one document of each group of equal texts takes part in 1-3 beyond its signature.  Defined results: words are separated
 by white space of ASCII; a text of fewer than five words is one shingle; a text without words is in a class with equal texts
-only; a null text is empty; the class id is the least doc_id of the class; rows without doc_id get no class.
+only; a null text is empty; the class id is the least doc_id of the class; rows without doc_id get no class; rows that share a doc_id
+and differ in text have a class each, by text.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BANDS, ROWS = 40, 6
 CHUNK_DOCS, CHUNK_BYTES = 400, 8 << 20
 #: Documents of a large family that every chunk of it meets.
 HUBS = 8
+#: Marks of a unit: a whole family, or a chunk of a large one with its hubs.
+WHOLE, PART = -2, -1
 
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
@@ -148,18 +151,18 @@ def linked(ids: np.ndarray, column: pa.Array, n: int, similarity: float) -> list
 
 
 def _verified(units: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b) with a > b: links within each unit of ``units`` (unit columns f, i, j; doc_id; text), which is sorted by unit and doc_id."""
+    """(a, b, whole) with a > b: links within each unit of ``units`` (unit columns f, i, j; doc_id; text), which is sorted by unit
+    and doc_id; ``whole`` tells that the unit is its whole family (j is WHOLE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        def solve(unit: tuple[int, int, int], parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
             ids, keep = np.unique(np.asarray(t.column("doc_id")), return_index=True)
-            if len(ids) < 2:
-                return []
-            return linked(ids, t.column("text").take(pa.array(keep)).combine_chunks(), n, similarity)
+            found = linked(ids, t.column("text").take(pa.array(keep)).combine_chunks(), n, similarity) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)), pa.array([unit[2] == WHOLE] * len(found), pa.bool_())], ["a", "b", "whole"])
 
         held: list[pa.RecordBatch] = []
-        unit, out = None, []
+        unit: tuple[int, int, int] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -168,18 +171,15 @@ def _verified(units: DataFrame, n: int, similarity: float) -> DataFrame:
             a = 0
             for b in ends:
                 if unit is not None and tuple(key[a]) != unit:
-                    out += solve(held)
+                    yield solve(unit, held)
                     held = []
                 unit = tuple(key[a])
                 held.append(batch.slice(a, b - a))
                 a = b
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-            out = []
         if held:
-            out = solve(held)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield solve(unit, held)
 
-    return units.select("f", "i", "j", "doc_id", "text").mapInArrow(run, "a long, b long")
+    return units.select("f", "i", "j", "doc_id", "text").mapInArrow(run, "a long, b long, whole boolean")
 
 
 def _units(parts: DataFrame, held: DataFrame) -> DataFrame:
@@ -187,59 +187,73 @@ def _units(parts: DataFrame, held: DataFrame) -> DataFrame:
     return parts.join(held.select("f", "doc_id", "text"), ["f", "doc_id"]).repartition(partitions(held.sparkSession), "f", "i", "j").sortWithinPartitions("f", "i", "j", "doc_id")
 
 
-def _links(held: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b): links that connect what is connected in each family of ``held`` (f, doc_id, n_bytes, weight, text).
-
-    A family of one chunk is a unit.  Of a larger one, first each chunk meets a few hubs, the documents whose bands met the most
-    others, as the original of many copies does; what then isn't in the family's largest part meets all of the family.  Every
-    link outside of that part has an end there, so none is lost, and what is in the part isn't compared again."""
-    chunks = held.groupBy("f").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS), F.ceil(F.sum("n_bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
-    chunks = written(chunks, "chunks")
-    placed = held.select("f", "doc_id", "weight").join(chunks.select(apart("f"), "chunks"), "f").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    hubs = placed.where("chunks > 1").groupBy("f", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HUBS)).alias("h")).agg(F.max_by("doc_id", "weight").alias("doc_id"))
-    spread = hubs.join(chunks, "f").select("f", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(-1).alias("j"), "doc_id")
-    first = placed.select("f", F.col("chunk").alias("i"), F.lit(-1).alias("j"), "doc_id").union(spread)
+def _joined(held: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(vertex, root): the linked documents of each family of ``held`` (f, doc_id, n_bytes, weight, text), and the least of each part.
+
+    A family of one chunk is a unit, and its parts are known there.  Of a larger one, first each chunk meets a few hubs, the
+    documents whose bands met the most others, as the original of many copies does; what then isn't in the family's largest part
+    meets all of the family.  Every link outside of that part has an end there, so none is lost, and what is in the part isn't
+    compared again."""
+    sizes = held.groupBy("f").agg(F.count(F.lit(1)).alias("size"), F.sum("n_bytes").alias("n_bytes"))
+    chunks = written(sizes.select("f", F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK_DOCS), F.ceil(F.col("n_bytes") / CHUNK_BYTES)).cast("int").alias("chunks")).where("chunks > 1"), "chunks")
+    some = bool(chunks.limit(1).count())
+    if not some:
+        alone = held.select("f", F.lit(0).alias("i"), F.lit(WHOLE).alias("j"), "doc_id", "text").repartition(partitions(held.sparkSession), "f", "i", "j").sortWithinPartitions("f", "i", "j", "doc_id")
+        return _verified(alone, n, similarity).select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+
+    placed = held.select("f", "doc_id", "weight").join(chunks, "f", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"), F.lit(0)))
+    large = written(placed.where("chunks is not null"), "large")
+    hubs = large.groupBy("f", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HUBS)).alias("h")).agg(F.max_by("doc_id", "weight").alias("doc_id"), F.max("chunks").alias("chunks"))
+    spread = hubs.select("f", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.lit(PART).alias("j"), "doc_id")
+    first = placed.select("f", F.col("chunk").alias("i"), F.when(F.col("chunks").isNull(), WHOLE).otherwise(PART).alias("j"), "doc_id").union(spread)
     links = written(_verified(_units(first, held), n, similarity), "links")
-    if not chunks.where("chunks > 1").limit(1).count():
-        return links
+    whole = links.where("whole").select(F.col("a").alias("vertex"), F.col("b").alias("root"))
 
-    large = placed.where("chunks > 1")
-    joined = components(links.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi"))
+    joined = components(links.where("not whole"))
     part = large.join(joined.select(F.col("vertex").alias("doc_id"), "root"), "doc_id", "left").select("f", "doc_id", "chunks", "chunk", F.coalesce("root", "doc_id").alias("root"))
     part = written(part, "parts")
     most = part.groupBy("f", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("f").agg(F.max_by("root", F.struct("size", "root")).alias("most"))
-    rest = part.join(most.select(apart("f"), "most"), "f").where("root <> most").select("f", "doc_id", "chunks")
-    groups = rest.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("int").alias("groups"))
-    own = rest.join(groups.select(apart("f"), "groups"), "f").select("f", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("groups")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "doc_id")
-    every = part.join(groups.select(apart("f"), "groups"), "f").select("f", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("chunk").alias("j"), "doc_id")
-    return links.union(_verified(_units(own.union(every), held), n, similarity))
+    rest = written(part.join(most.select(apart("f"), "most"), "f").where("root <> most").select("f", "doc_id", "chunks"), "rest")
+    groups = written(rest.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("int").alias("groups")), "groups")
+    own = rest.join(groups, "f").select("f", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("groups")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), "doc_id")
+    every = part.join(groups, "f").select("f", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("chunk").alias("j"), "doc_id")
+    more = _verified(_units(own.union(every), held), n, similarity).select("a", "b")
+    return whole.union(components(more.union(joined.select(F.col("vertex").alias("a"), F.col("root").alias("b")))))
 
 
-def classes(docs: DataFrame, *, n: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id) of every row that has a doc_id."""
+def _classes(docs: DataFrame, *, n: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, digest, class_id) of every row that has a doc_id."""
     sketch = written(sketched(docs, n=n, bands=bands, rows=rows), "sketches")
-    groups = sketch.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))  # one document of each text
-    one = sketch.join(groups, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    one = sketch.groupBy("digest").agg(F.min(F.struct("doc_id", "n_bytes", "bands")).alias("one"))  # one document of each text
+    one = written(one.select("one.*", "digest"), "texts")
 
     keyed = one.select("doc_id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select(apart("key"), "least", "size")
     met = written(keyed.join(buckets, "key").groupBy("doc_id", "least").agg(F.sum("size").alias("weight")), "ties")
     tied = components(met.where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
-    family = tied.select(F.col("vertex").alias("doc_id"), F.col("root").alias("f")).union(tied.select(F.col("root").alias("doc_id"), F.col("root").alias("f")).distinct())
+    members = met.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    family = members.join(tied.select(F.col("vertex").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "weight", F.coalesce("root", "doc_id").alias("f"))
 
     body = texts(docs).where("doc_id is not null").select("doc_id", "text", F.sha2("text", 256).alias("digest"))
-    weight = met.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
-    held = family.join(one.select("doc_id", "digest", "n_bytes"), "doc_id").join(weight, "doc_id").join(body, ["doc_id", "digest"]).select("f", "doc_id", "n_bytes", "weight", "text")
-    near = components(_links(written(held, "families"), n, similarity))
+    held = family.join(one.select("doc_id", "digest", "n_bytes"), "doc_id").join(body, ["doc_id", "digest"]).select("f", "doc_id", "n_bytes", "weight", "text")
+    near = _joined(written(held, "families"), n, similarity)
+
+    roots = one.select("doc_id", "digest").join(near.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select(apart("digest"), F.coalesce("root", "doc_id").alias("class_id"))
+    return sketch.select("doc_id", "digest").join(roots, "digest")
 
-    roots = groups.join(near, groups["doc_id"] == near["vertex"], "left").select(apart("digest"), F.coalesce("root", "doc_id").alias("class_id"))
-    return sketch.select("doc_id", "digest").join(roots, "digest").select("doc_id", "class_id")
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id) of every row that has a doc_id."""
+    return _classes(docs, **how).select("doc_id", "class_id")
 
 
 def one_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the first document of each class only (and one row of it); rows without doc_id stay."""
-    least = classes(docs, **how).where("doc_id = class_id").select("doc_id").distinct()
-    some = docs.where("doc_id is not null").join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """``docs`` with the first document of each class only; rows without doc_id stay.  Of equal rows (doc_id and text) one
+    stays; rows that share the first doc_id of a class and differ in text all do."""
+    key = f"_{max(map(len, docs.columns)) * 'k'}"  # longer than any name of a column
+    own = F.concat_ws(" ", F.col("doc_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    least = _classes(docs, **how).where("doc_id = class_id").select(F.concat_ws(" ", "doc_id", "digest").alias(key)).distinct()
+    some = docs.where("doc_id is not null").withColumn(key, own).join(least, key, "left_semi").dropDuplicates([key]).drop(key)
     return some.unionByName(docs.where("doc_id is null"))
 
 

@@ -387,6 +387,26 @@ def test_large_families_are_cut_into_units(spark, monkeypatch):
     assert dict(near_duplicates.classes(df).collect()) == brute_classes(rows)
 
 
+def test_near_duplicates_on_odd_rows(spark, odd):
+    """Very long texts, nulls, repeated rows and rows that share a doc_id: the classes of texts are those of brute force."""
+    rows = plain(odd)
+    some = {}
+    for d, t in rows:
+        if d is not None:
+            some.setdefault(t, d)
+            some[t] = min(some[t], d)
+    firsts = Counter(some.values())
+    own = [(d, t) for t, d in some.items() if firsts[d] == 1]  # texts whose doc_id stands for one text
+    want = brute_classes(own)
+    texts = odd.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    got = near_duplicates.classes(odd).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in texts)
+    alone = {d for d, t in own if want[d] == d and list(want.values()).count(d) == 1}
+    assert alone <= {r.class_id for r in got}
+    kept = near_duplicates.one_each(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id is not null").groupBy("doc_id", "text").count().where("count > 1").count() == 0
+
+
 def test_repeats_of_shared_shingles_lose_no_link(spark):
     rows = []
     for i in range(40):
@@ -413,7 +433,8 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - exact) < 0.03
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [1 << 20, 20])
+def test_components(spark, held):
     r = random.Random(9)
     edges = {(max(a, b), min(a, b)) for a, b in ((r.randint(0, 300), r.randint(0, 300)) for _ in range(220)) if a != b} | {(i + 1, i) for i in range(400, 460)}
     parent = {v: v for e in edges for v in e}
@@ -426,9 +447,11 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = dict(components(spark.createDataFrame(sorted(edges), "a long, b long")).collect())
+    found = components(spark.createDataFrame(sorted(edges), "a long, b long").repartition(5), held=held).collect()
+    got = dict(found)
+    assert len(found) == len(got)
     assert got == {v: find(v) for v in parent if find(v) != v}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), held=held).count() == 0
 
 
 # ---- 1: decontamination --------------------------------------------------------------------------------------------
