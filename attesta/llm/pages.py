@@ -1,19 +1,22 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. A page is a sequence of structural tokens: paths of block elements with their classes and ids.  Each token's occurrence
-   vector over the pages of a host (how often it stands in each page) is kept as an order-free fingerprint, the exclusive or
-   of one hash per (page, count), with its support, total, and the text below it.  Tasks sum these up before the shuffle, so a
+1. A page is a sequence of tokens: paths of block elements with their classes and ids, and the texts of its blocks.  Each path's
+   occurrence vector over the pages of a host (how often it stands in each page) is kept as an order-free fingerprint, sums of
+   one hash per (page, count), with its support, total, and the text below it.  Tasks sum these up before the shuffle, so a
    host of any size is a few rows a task.
-2. Tokens of a host with equal vectors form an equivalence class.  Classes that are frequent, have several tokens and stand
+2. Paths of a host with equal vectors form an equivalence class.  Classes that are frequent, have several tokens and stand
    once a page are valid; as tokens are paths, they nest by prefix into a template, whose slots are the text under a token and
-   under none deeper.
+   under none deeper.  Constant texts are of the template too: those that most of a host's different pages have, each time
+   beside another text (copies of one article repeat all of it, and that is no template).
 3. A page is cut along its host's template.  Slots of navigation, page headers and footers, asides, notices, adverts, forms,
-   scripts, styles and comments go, by element, role, class and id.  If the page marks its article (article, main), that slot
-   is the text; else the deepest template slot with most of the host's running text, without blocks whose text most pages of
-   the host repeat; a page whose host has no template is judged by itself in the same way.
-
-A hot host is split by adaptive execution in the join of pages and templates.  Defined results: null and empty html give an
-empty text; a page that is cut off ends where it is cut; an unknown host has no template; repeated rows are separate.
+   scripts, styles and comments go, by element, role, class and id, and so do constant texts.  The text is the deepest slot with
+   most of the host's running text, where a slot that is an article or main element goes before others; inside it one article
+   that holds most of the slot, or several that hold half of it, narrow it.  A page whose host has no template, or that has
+   nothing in that slot, is judged by itself in the same way.
+
+A host's template is deduced once and joined to its pages; a hot host is split by adaptive execution in that join.  Defined
+results: null and empty html give an empty text; a page that is cut off ends where it is cut; an unknown host has no template;
+repeated rows are separate (and count once as different pages); where constant texts are all that a page has, they stay.
 """
 
 from __future__ import annotations
@@ -49,6 +52,8 @@ HEADS = frozenset(("header", "head", "topbar", "masthead"))
 
 #: A class is valid if so much of a host's pages, and two at least, have it.
 SUPPORT = 0.5
+#: A text is constant if so many of a host's different pages, and SUPPORT of them, have it: two may share a quotation.
+CONSTANT = 3
 #: A slot holds the main text if it has so much of the running text.
 MASS = 0.7
 
@@ -95,7 +100,7 @@ def blocks(page: str) -> list[Block]:
     open_: list[tuple[str, tuple[str, ...], tuple[int, ...], int, int]] = [("", (), (), -1, 0)]
     opened = 0
     text: list[str] = []
-    inline_gone: list[str] = []
+    inline_gone: list[tuple[str, int]] = []  # (name, open block elements) of inline elements that go, and what is open of their name inside
     link, linked = 0, 0
     at, n = 0, len(page)
 
@@ -121,6 +126,8 @@ def blocks(page: str) -> list[Block]:
         for i in range(len(open_) - 1, 0, -1):
             if open_[i][0] == name:
                 del open_[i:]
+                while inline_gone and inline_gone[-1][1] > i:  # it ends with the block that it began in
+                    inline_gone.pop()
                 return True
         return False
 
@@ -169,17 +176,12 @@ def blocks(page: str) -> list[Block]:
             text.append(" ")
         elif name == "a":
             link = 0 if m[1] else 1
-        elif name == "button" or name == "label":
+        if name not in BLOCKS and name not in VOID and name not in _END:
             if m[1]:
-                if inline_gone and inline_gone[-1] == name:
+                if inline_gone and inline_gone[-1][0] == name:
                     inline_gone.pop()
-            elif name == "button":
-                inline_gone.append(name)
-        elif m[3] and not m[1] and name not in VOID and not m[3].endswith("/"):
-            if _kind(name, m[3])[1] and not inline_gone:
-                e = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                if e and e.start() - at < 2000:
-                    at = e.end()
+            elif not m[3].endswith("/") and (inline_gone[-1][0] == name if inline_gone else name == "button" or (m[3] and _kind(name, m[3])[1])):
+                inline_gone.append((name, len(open_)))
     flush()
     return out
 
@@ -191,12 +193,28 @@ def _hash(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def occurrences(page: str) -> dict[str, list[int]]:
-    """token -> [count, characters of running text below, whether it goes] of one page; ``T`` tokens stand for short texts
-    outside of marked articles, and the token "" for the page."""
+def text_at(b: Block) -> tuple[int, int]:
+    """Hashes of a block's text at its place, and of the place."""
+    path = "/".join(b.path)
+    return _hash(path, b.text), _hash(path)
+
+
+class Seen(NamedTuple):
+    """What one page adds: token -> [count, characters of running text below, whether it goes], the token "" for the page; text at
+    its place -> [the longest other text of the page, hash of the place, characters of running text]; and a hash of all its text."""
+
+    tokens: dict[str, list[int]]
+    texts: dict[int, list[int]]
+    whole: int
+
+
+def occurrences(page: str) -> Seen:
     found: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
     found[""][0] = 1
     seen: set[int] = set()
+    texts: dict[int, list[int]] = {}
+    sizes: dict[int, int] = {}
+    every = []
     for b in blocks(page):
         mass = 0 if b.gone else len(b.text) - b.links
         for i, element in enumerate(b.elements):
@@ -205,12 +223,19 @@ def occurrences(page: str) -> dict[str, list[int]]:
             own[1] += mass
             own[2] |= 0 <= b.gone_from <= i
         seen.update(b.elements)
-        if not b.article and len(b.text) <= 300:
-            found[f"T{_hash(b.text)}"][0] += 1
-    return found
+        if not b.gone:
+            h, place = text_at(b)
+            sizes[h] = len(b.text)
+            texts.setdefault(h, [0, place, 0])[2] += mass
+            every.append(b.text)
+    longest = sorted(sizes, key=lambda h: (-sizes[h], h))[:2]
+    for h, own in texts.items():
+        own[0] = next((x for x in longest if x != h), 0)
+    return Seen(found, texts, _hash(*every))
 
 
-_SCHEMA = "host string, token string, support long, total long, vector long, mass long, gone long"
+_PARTS = "host string, token string, support long, total long, one long, two long, mass long, gone long, text long, beside long, place long"
+_SUMS = ("support", "total", "one", "two", "mass")
 
 
 def host() -> F.Column:
@@ -218,67 +243,96 @@ def host() -> F.Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens): of each host of several pages its frequent tokens with their vectors."""
+    """(host, main, constant) of each host whose pages have a template: the path of the slot of the main text, and hashes of
+    texts at their places that most of its pages have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], list[int]] = {}
+        texts: list[tuple[str, int, int, int, int]] = []
+
+        def rows() -> pa.RecordBatch:
+            nothing = [None] * len(texts)
+            columns = [[k[0] for k in held] + [x[0] for x in texts], [k[1] for k in held] + nothing]
+            columns += [[v[i] for v in held.values()] + ([x[4] for x in texts] if i == 4 else nothing) for i in range(6)]
+            columns += [[None] * len(held) + [x[i] for x in texts] for i in (1, 2, 3)]
+            types = [pa.string()] * 2 + [pa.int64()] * 9
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _PARTS.split(", ")])
+
         for batch in batches:
             for h, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                page = page.as_py()
+                seen = occurrences(page.as_py())
                 seed = _hash(page)
-                for token, (count, mass, gone) in occurrences(page).items():
-                    own = held.setdefault((h, token), [0, 0, 0, 0, 0])
-                    own[0] += 1
-                    own[1] += count
-                    own[2] ^= hash((seed, count)) & 0x7FFFFFFFFFFFFFFF
-                    own[3] += mass
-                    own[4] |= gone
-            if len(held) > 200_000:
-                yield _rows(held)
-                held = {}
-        yield _rows(held)
+                for token, (count, mass, gone) in seen.tokens.items():
+                    own = held.setdefault((h, token), [0, 0, 0, 0, 0, 0])
+                    key = hash((seed, count))
+                    for i, x in enumerate((1, count, key & 0x7FFFFFFF, key >> 31 & 0x7FFFFFFF, mass)):
+                        own[i] += x
+                    own[5] |= gone
+                texts += [(h, t, *own) for t, own in seen.texts.items()]
+                texts.append((h, 0, seen.whole, 0, 0))
+            if len(held) + len(texts) > 200_000:
+                yield rows()
+                held, texts = {}, []
+        yield rows()
 
     some = pages.select(host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where("host <> ''")
-    # a text that one page of a task has says nothing, and most do: summed up before they are told apart
-    found = some.mapInArrow(run, _SCHEMA).groupBy("host", "token").agg(F.sum("support").alias("support"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("mass").alias("mass"), F.max("gone").alias("gone"))
-    found = written(found.where("support > 1"), "tokens")
-    roots = found.where("token = ''").select("host", F.col("support").alias("pages"))
-    often = found.join(roots, "host").where(F.col("support") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * SUPPORT)))  # at most 1 / SUPPORT times the tokens of a page
-    return often.groupBy("host").agg(F.collect_list(F.struct("token", "support", "total", "vector", "mass", "gone")).alias("tokens")).select(apart("host"), "tokens")
-
+    parts = written(some.mapInArrow(run, _PARTS), "occurrences")
+    found = parts.where("token is not null").groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in _SUMS), F.max("gone").alias("gone")).where("support > 1")
+    texts = parts.where("text is not null").groupBy("host", "text", "place").agg(F.count_distinct("beside").alias("support"), F.sum("mass").alias("mass")).where("support > 1")
+    found = written(found.unionByName(texts, allowMissingColumns=True), "tokens")
+    roots = found.where("token = '' or text = 0").groupBy("host").agg(F.max(F.when(F.col("token") == "", F.col("support"))).alias("pages"), F.max(F.when(F.col("text") == 0, F.col("support"))).alias("different"))
+    least = lambda n, of: F.greatest(F.lit(n), F.ceil(F.col(of) * SUPPORT))
+    often = found.join(roots, "host").where(F.col("support") >= F.when(F.col("token").isNull(), least(CONSTANT, "different")).otherwise(least(2, "pages"))).where("text is null or text <> 0")  # at most 1 / SUPPORT times the tokens of a page
+    rows = often.groupBy("host").agg(F.collect_list(F.struct("token", *_SUMS, "gone", "text", "place")).alias("tokens"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [deduce(x.as_py()) for x in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([t.main for t in made], pa.string()), pa.array([sorted(t.constant) for t in made], pa.list_(pa.int64()))], ["host", "main", "constant"])
 
-def _rows(held: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
-    keys = list(held)
-    columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([held[k][i] for k in keys], pa.int64()) for i in range(5))]
-    return pa.RecordBatch.from_arrays(columns, ["host", "token", "support", "total", "vector", "mass", "gone"])
+    return rows.select(apart("host"), "tokens").mapInArrow(solve, "host string, main string, constant array<long>").where("main is not null")
 
 
 class Template(NamedTuple):
     slots: frozenset[str]  # tokens of valid classes
     main: str | None  # the slot of the running text
-    repeated: frozenset[str]  # texts that most pages have
+    constant: frozenset[int]  # texts at their places that most pages have
+
+
+def _name(token: str) -> str:
+    return token.rpartition("/")[2].partition(".")[0]
 
 
-def _deepest(mass: dict[str, float]) -> str | None:
-    """The deepest token with at least MASS of what the heaviest has."""
+def _heaviest(mass: dict[str, float]) -> str | None:
+    """Of the tokens with at least MASS of what the heaviest has the deepest article, else the deepest main, else the deepest."""
     best = max(mass.values(), default=0)
-    return max((t for t, m in mass.items() if m >= MASS * best), key=lambda t: (t.count("/"), mass[t], t), default=None) if best > 0 else None
+    some = [t for t, m in mass.items() if m >= MASS * best] if best > 0 else []
+    return max(some, key=lambda t: (ARTICLE.get(_name(t), 0), t.count("/"), mass[t], t), default=None)
 
 
 def deduce(tokens: list[dict]) -> Template:
     """The template of a host from its frequent tokens."""
-    classes: dict[tuple[int, int, int], list[dict]] = defaultdict(list)
+    classes: dict[tuple[int, ...], list[dict]] = defaultdict(list)
     for t in tokens:
-        if not t["token"].startswith("T") and t["token"]:
-            classes[t["support"], t["total"], t["vector"]].append(t)
+        if t["token"]:
+            classes[t["support"], t["total"], t["one"], t["two"]].append(t)
     valid: dict[str, dict] = {}
     # outer classes first; a class nests if each of its tokens stands under a token of the template or at the top
-    for (support, total, _), members in sorted(classes.items(), key=lambda x: (-x[0][0], min(m["token"].count("/") for m in x[1]))):
+    for (support, total, *_), members in sorted(classes.items(), key=lambda x: (-x[0][0], min(m["token"].count("/") for m in x[1]))):
         names = {m["token"] for m in members}
         nested = all((p := m["token"].rpartition("/")[0]) == "" or p in valid or p in names for m in members)
         if len(members) > 1 and total == support and nested:
             valid |= {m["token"]: m for m in members}
-    return Template(frozenset(valid), _deepest({k: v["mass"] for k, v in valid.items() if not v["gone"] and not _LEAF.match(k.rpartition("/")[2])}), frozenset(t["token"] for t in tokens if t["token"].startswith("T")))
+    constant = [t for t in tokens if t["token"] is None]
+    places = {_hash(t["token"]): t["token"] for t in tokens if t["token"]}
+    mass = Counter({k: v["mass"] for k, v in valid.items()})
+    for t in constant:  # what is constant is no running text
+        place = places.get(t["place"], "")
+        while place:
+            mass[place] -= t["mass"]
+            place = place.rpartition("/")[0]
+    main = _heaviest({k: mass[k] for k, v in valid.items() if not v["gone"] and not _LEAF.match(_name(k))})
+    return Template(frozenset(valid), main, frozenset(t["text"] for t in constant))
 
 
 def _under(found: list[Block], token: str | None) -> list[Block]:
@@ -287,26 +341,49 @@ def _under(found: list[Block], token: str | None) -> list[Block]:
     inside = [token is not None and p.startswith(token + "/") for p in paths]
     first = inside.index(True) if True in inside else 0
     beside = (token or "").rpartition("/")[0]
+    if _name(token or "") in ARTICLE:
+        first = 0  # an article has its own headings
     return [b for i, b in enumerate(found) if inside[i] or (i < first and re.match(r"h[12]\b", b.path[-1] if b.path else "") and paths[i].startswith(f"{beside}/" if beside else ""))]
 
 
+def _running(b: Block) -> int:
+    return max(0, len(b.text) - b.links)
+
+
+def narrowed(found: list[Block]) -> list[Block] | None:
+    """The blocks of the article that holds most of the running text of ``found``, or of several that hold half of it; else the
+    same of main elements; None without any."""
+    total = sum(map(_running, found))
+    for name in ARTICLE:
+        own = [next((e for e, t in zip(b.elements, b.path, strict=True) if _name(t) == name), 0) for b in found]
+        mass: Counter[int] = Counter()
+        for b, e in zip(found, own, strict=True):
+            if e:
+                mass[e] += _running(b)
+        if mass:
+            best = max(mass, key=lambda e: (mass[e], -e))
+            if mass[best] >= MASS * total:
+                return [b for b, e in zip(found, own, strict=True) if e == best]
+            if 2 * mass.total() >= total:
+                return [b for b, e in zip(found, own, strict=True) if e]
+    return None
+
+
 def main_text(page: str, template: Template | None) -> tuple[str, bool]:
     """(the text, whether the template told where it is)."""
     found = [b for b in blocks(page) if not b.gone]
-    level = max((b.article for b in found), default=0)
-    if level:
-        return "\n".join(b.text for b in found if b.article == level), False
-    if template:
-        found = [b for b in found if f"T{_hash(b.text)}" not in template.repeated]
-        inside = _under(found, template.main)
-        if inside:
-            return "\n".join(b.text for b in inside), True
+    if template and template.main:
+        kept = [b for b in found if text_at(b)[0] not in template.constant] if template.constant else found
+        if inside := _under(kept, template.main):
+            return "\n".join(b.text for b in narrowed(inside) or inside), True
+    if (own := narrowed(found)) is not None:
+        return "\n".join(b.text for b in own), False
     mass: Counter[str] = Counter()
     for b in found:
         for i in range(len(b.path)):
             if i + 1 < len(b.path) or not _LEAF.match(b.path[i]):
-                mass["/".join(b.path[: i + 1])] += max(0, len(b.text) - b.links)
-    best = _deepest(mass)
+                mass["/".join(b.path[: i + 1])] += _running(b)
+    best = _heaviest(mass)
     kept = found if best is None else _under(found, best)
     return "\n".join(b.text for b in kept if b.links < 0.8 * len(b.text)), False
 
@@ -318,21 +395,20 @@ def extracted(pages: DataFrame) -> DataFrame:
         known: dict[str, Template | None] = {}
         for batch in batches:
             texts, told = [], []
-            hosts, tokens = batch.column("host").to_pylist(), batch.column("tokens")
+            hosts, mains, constants = batch.column("host").to_pylist(), batch.column("main").to_pylist(), batch.column("constant")
             for i, page in enumerate(batch.column("html")):
                 h = hosts[i]
                 if h not in known:
                     if len(known) > 2000:
                         known.clear()
-                    rows = tokens[i].as_py()
-                    known[h] = deduce(rows) if rows else None
+                    known[h] = Template(frozenset(), mains[i], frozenset(constants[i].as_py())) if mains[i] is not None else None
                 text, by = main_text(page.as_py(), known[h])
                 texts.append(text)
                 told.append(by)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(told)], ["page_id", "url", "text", "n_chars", "by_template"])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(told, pa.bool_())], ["page_id", "url", "text", "n_chars", "by_template"])
 
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host().alias("host"))
-    joined = own.join(templates(pages), "host", "left").select("page_id", "url", "host", "html", "tokens")
+    joined = own.join(templates(pages), "host", "left").select("page_id", "url", "host", "html", "main", "constant")
     kind = own.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, by_template boolean")
 

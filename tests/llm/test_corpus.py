@@ -293,6 +293,89 @@ def test_templates(spark):
     assert pages.extracted(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def brute_template(htmls):
+    """The template of a host's pages from explicit occurrence vectors."""
+    seen = [pages.occurrences(h) for h in htmls]
+    classes = defaultdict(set)
+    for t in {t for s in seen for t in s.tokens if t}:
+        vector = tuple(s.tokens[t][0] if t in s.tokens else 0 for s in seen)
+        support = sum(v > 0 for v in vector)
+        if support >= max(2, len(htmls) / 2):
+            classes[vector].add(t)
+    slots, frequent = set(), set().union(*classes.values())
+    for vector, names in sorted(classes.items(), key=lambda x: (-sum(v > 0 for v in x[0]), min(t.count("/") for t in x[1]))):
+        up = {t.rpartition("/")[0] for t in names}
+        if len(names) > 1 and set(vector) <= {0, 1} and up <= slots | names | {""}:
+            slots |= names
+    texts = defaultdict(set)
+    for s in seen:
+        for t, (beside, *_) in s.texts.items():
+            texts[t].add(beside)
+    least = max(3, len({s.whole for s in seen}) / 2)
+    constant = {t for t, b in texts.items() if len(b) >= least}
+    mass = Counter(slots)
+    for t in slots:  # running text below a slot that isn't constant
+        found = [b for h in htmls for b in pages.blocks(h) if not b.gone and "/".join(b.path + ("",)).startswith(t + "/")]
+        mass[t] = sum(len(b.text) - b.links for b in found if pages.text_at(b)[0] not in constant or "/".join(b.path) not in frequent)
+    gone = {t for t in slots if any(t in s.tokens and s.tokens[t][2] for s in seen)}
+    some = {t: m for t, m in mass.items() if t not in gone and pages._name(t) not in ("p", "li", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")}
+    best = max(some.values(), default=0)
+    of = [t for t, m in some.items() if best and m >= pages.MASS * best]
+    main = max(of, key=lambda t: ({"article": 2, "main": 1}.get(pages._name(t), 0), t.count("/"), some[t], t), default=None)
+    return main, constant
+
+
+def test_templates_equal_explicit_vectors(spark):
+    r = random.Random(5)
+    rows, want = [], {}
+    for h in range(30):
+        parts = [f'<div class="{r.choice("abcde")}"><p>{r.choice(["same", f"t{r.randint(0, 9)}"])}</div>' for _ in range(6)]
+        n = r.randint(1, 9)
+        made = []
+        for _ in range(n):
+            body = "".join(p for p in parts if r.random() < 0.8)
+            tag = r.choice(["article", "div", "main"])
+            made.append(f"<html><body><div class=top><p>{'notice ' * r.choice([3, 80])}</div>{body}<{tag}><p>{' '.join(r.choice(WORDS) for _ in range(r.randint(1, 30)))}</{tag}></body></html>")
+        made += r.choice([[], made[:2]])  # equal pages
+        rows += [(f"http://h{h}.example/{i}", m) for i, m in enumerate(made)]
+        want[f"h{h}.example"] = brute_template(made)
+    got = {x.host: (x.main, set(x.constant)) for x in pages.templates(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {h: v for h, v in want.items() if v[0] is not None}
+
+
+def test_templates_decide(spark):
+    """A template tells where the text is also without article elements; it finds constant texts of any length, and no teaser."""
+    r = random.Random(12)
+    text = lambda k: " ".join(r.choice(WORDS).strip() for _ in range(k)).replace("\n", " ").replace("\t", " ")
+    notice, rows, want = "we tell everyone this " * 60, [], {}
+    for i in range(24):
+        a, b = text(40), text(60)
+        tag = ("article", "div")[i % 2]
+        own = f'<div class=top><h1>H{i}</h1></div><{tag} class=body><p>{a}</p><div class=x>{notice}</div><p>{b} <span class="advert">buy {"now " * r.choice([1, 900])}</span></p></{tag}>'
+        if i % 2:
+            own += "<article><p>Teaser</p></article>"
+        rows.append((i, f"http://{tag}.example/{i}", f"<html><body><ul class=menu><li>m</ul>{own}<footer>f</footer></body></html>"))
+        want[i] = (a, b)
+    rows += [(100 + i, "http://article.example/copy", rows[0][2]) for i in range(30)]  # copies of one page
+    got = {x.page_id: x for x in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (a, b) in want.items():
+        assert got[i].by_template
+        assert [x for x in got[i].text.split("\n") if x != f"H{i}"] == [" ".join(a.split()), " ".join(b.split())], (i, got[i].text[:300])
+    assert {got[100 + i].text for i in range(30)} == {got[0].text}
+    long = "<div><p>" + "word " * 300 + "</p></div>"
+    assert pages.main_text(f"<body><div class=content>{long}</div><article><p>Teaser</p></article></body>", None)[0] == ("word " * 300).strip()
+
+
+def test_marked_inline_elements():
+    text = lambda p: pages.main_text(f"<article>{p}</article>", None)[0]
+    assert text(f'<p>a <span class="advert">{"x " * 3000}<span>y</span> z</span> b</p>') == "a b"
+    assert text('<p>a <span class="advert">unclosed</p><p>next</p>') == "a\nnext"
+    assert text('<p>a <span class="share"><b>x</b></span>b</p>') == "a b"
+    assert text("<p>a <button>x</button> b</p>") == "a b"
+    assert text("<p>" + '<span class="ad">' * 5000 + "</p><p>b</p>") == "b"
+    assert pages.main_text("<article><p>" + "w " * 2_000_000 + "</p></article>", None)[0] == ("w " * 2_000_000).strip()
+
+
 # ---- 4: repeated strings -------------------------------------------------------------------------------------------
 
 
