@@ -10,14 +10,15 @@ No machine can sort all suffixes of a corpus, and none has to: two equal strings
    takes part; a later copy is removed whole.
 1. Blocks send the hashes of their anchors, each once; buckets of hashes answer which occur in more than one document.
 2. Blocks send the context of each shared anchor (26 bytes before, 50 from it on), each distinct one once with the least
-   doc_id that has it.  A bucket sorts the suffixes of its contexts, finds runs whose common prefix reaches ``LENGTH``, and
-   by previous smaller documents in that order the strings that have an earlier match.  It answers with a bit per string.
+   doc_id that has it.  A bucket sorts the suffixes of its contexts, takes their common prefixes and, by the previous and the
+   next smaller document in that order, their longest previous factors.  It answers with a bit for each string whose factor
+   reaches ``LENGTH``.
 3. Blocks apply the answers to all documents that hold the context.
 
 What a bucket gets of one passage is at most one row a block, however many documents hold it.  At a passage's ends, though,
 every document has a context of its own around the same anchor.  An anchor that most blocks have is therefore *wide*: around
-it blocks send strings instead of contexts, each distinct one once as a hash of 128 bits, dealt by that hash, so that no
-group grows with the number of documents that hold a passage.  Defined results: a null or
+it blocks send strings instead of contexts, each distinct one once as a hash of 128 bits, dealt by that hash (the factor
+of such a string is all of it or nothing), so that no group grows with the number of documents that hold a passage.  Defined results: a null or
 empty text has 0 bytes and the hash of no bytes; texts of fewer than ``LENGTH`` bytes lose nothing; rows with equal doc_id do
 not remove one another; rows without doc_id neither remove nor lose anything.
 """
@@ -37,6 +38,8 @@ from attesta.llm.common import U64, Slice, SpanHash, documents, mix, partitions,
 LENGTH, GRAM = 50, 24
 #: Bytes of text, and contexts, that a kernel takes at once: its arrays then stay in a processor's cache.
 SLICE, CHUNK = 64 << 10, 8192
+#: Bytes of text in a block, at most about; a bucket gets what two blocks send on the average.
+BLOCK_BYTES = 48 << 20
 #: An anchor is wide if so many of the blocks have it.
 WIDE = 0.9
 
@@ -103,29 +106,58 @@ def valid(left: np.ndarray, right: np.ndarray, length: int = LENGTH, gram: int =
     return (o[None, :] <= left[:, None]) & (length - o[None, :] <= right[:, None])
 
 
-def earliest(context: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """For each context and string in it the least document that has the string (2**63 - 1 where the string isn't inside).
+def factors(common: np.ndarray, value: np.ndarray, least: int = 1) -> np.ndarray:
+    """Longest previous factors of suffixes in suffix order: ``common`` holds the length of the prefix that each shares with the
+    one before it, ``value`` its place (or document).  The longest prefix that a suffix shares with one of smaller value it
+    shares with the previous or the next smaller one in this order; the prefix is the least of ``common`` on the way there.
+    All suffixes look for theirs at once, each by the pointers of those that it passes.  A factor below ``least`` may be told too
+    short (its search ends where ``common`` falls below)."""
+    n = len(value)
+    out = np.zeros(n, np.int64)
+    for side in (1, -1):
+        v = value[::side]
+        low = (common if side == 1 else np.append(common[1:], 0)[::-1]).astype(np.int64)
+        if n:
+            low[0] = 0
+        smaller = np.arange(-1, n - 1)
+        live = np.flatnonzero(low >= least)
+        while len(live := live[v[smaller[live]] >= v[live]]):
+            at = smaller[live]
+            low[live], smaller[live] = np.minimum(low[live], low[at]), smaller[at]
+            live = live[low[live] >= least]
+        low[low < least] = 0
+        out = np.maximum(out, low[::side])
+    return out
+
+
+def common_prefixes(key: np.ndarray) -> np.ndarray:
+    """The number of bytes that each row of big-endian words (n x words) shares with the row before it."""
+    out = np.zeros(len(key), np.int64)
+    if len(key) > 1:
+        differ = key[1:] ^ key[:-1]
+        word = (differ != 0).argmax(1)
+        x = differ[np.arange(len(differ)), word]
+        out[1:] = 8 * word + sum((x >> U64(8 * k) == 0).astype(np.int64) for k in range(8))
+        out[1:][~differ.any(1)] = 8 * key.shape[1]
+    return out
 
-    The strings' suffixes are sorted (by group, bytes, document); a run of suffixes whose common prefix has ``length`` bytes is
-    one string, and the document at its head is the last of the chain of previous smaller ones."""
+
+def matched(context: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """For each context and string in it whether a smaller document of its group has the string: the strings' suffixes, cut
+    at ``length`` bytes, are sorted by group and bytes, and their longest previous factor over documents reaches ``length``."""
     ok = valid(left, right, length, gram)
     i, o = np.nonzero(ok)
     before = length - gram
-    out = np.full(ok.shape, np.iinfo(np.int64).max)
-    if not len(i):
-        return out
     words = -(-length // 8)
     string = np.zeros((len(i), 8 * words), np.uint8)
     string[:, :length] = context[i[:, None], (before - o)[:, None] + np.arange(length)[None, :]]
-    key = string.view(">u8").astype(U64)
-    order = np.lexsort((doc[i], *(key[:, w] for w in range(words - 1, -1, -1)), o, group[i]))
+    key = string.view(">u8").astype(U64).reshape(len(i), words)
+    order = np.lexsort((doc[i], *(key[:, w] for w in range(words - 1, -1, -1)), o, group[i]))  # equal strings stand at equal places of their contexts
     key, g, p = key[order], group[i][order], o[order]
-    head = np.ones(len(order), bool)
-    head[1:] = (key[1:] != key[:-1]).any(1) | (g[1:] != g[:-1]) | (p[1:] != p[:-1])
-    first = np.flatnonzero(head)
-    smallest = np.repeat(doc[i][order][first], np.diff(np.append(first, len(order))))
-    out[i[order], o[order]] = smallest
-    return out
+    common = np.minimum(common_prefixes(key), length)
+    common[1:][(g[1:] != g[:-1]) | (p[1:] != p[:-1])] = 0
+    ok[i[order], o[order]] = factors(common, doc[i][order], length) >= length
+    return ok
 
 
 def earlier(name: np.ndarray, anchor: np.ndarray, doc: np.ndarray, sides: np.ndarray, raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -134,17 +166,19 @@ def earlier(name: np.ndarray, anchor: np.ndarray, doc: np.ndarray, sides: np.nda
     one = np.flatnonzero(new)  # equal contexts once, with their least document
     which = np.cumsum(new) - 1
     left, right = sides[one] >> 6, sides[one] & 63
-    least = np.where(valid(left, right, length, gram), doc[one][:, None], np.iinfo(np.int64).max)
+    inside = valid(left, right, length, gram)
+    found = np.zeros(inside.shape, bool)
     g = anchor[one]
     twin = np.zeros(len(one), bool)  # contexts that share their anchor with another one
     twin[1:] |= g[1:] == g[:-1]
     twin[:-1] |= g[1:] == g[:-1]
     twin = np.flatnonzero(twin)
     if len(twin):
-        least[twin] = np.minimum(least[twin], earliest(raw[one[twin]], left[twin], right[twin], g[twin], doc[one[twin]], length, gram))
+        found[twin] = matched(raw[one[twin]], left[twin], right[twin], g[twin], doc[one[twin]], length, gram)
+    later = doc > doc[one][which]
     bits = np.zeros(len(name), "<u4")
-    for o in range(least.shape[1]):
-        bits |= (least[:, o][which] < doc).astype("<u4") << np.uint32(o)
+    for o in range(found.shape[1]):
+        bits |= (found[:, o][which] | (later & inside[:, o][which])).astype("<u4") << np.uint32(o)
     return bits
 
 
@@ -168,48 +202,6 @@ def _least(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     return order, np.repeat(doc[order][head], np.diff(np.append(head, len(o))))
 
 
-def longest_previous_factor(data: np.ndarray) -> np.ndarray:
-    """For each place of ``data`` the length of the longest prefix of its suffix that also starts at an earlier place: by the
-    suffix array (prefix doubling), its common prefixes, and previous and next smaller places in suffix order."""
-    n = len(data)
-    rank, k = data.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: max(0, n - k)] = rank[k:]
-        order = np.lexsort((second, rank))
-        step = np.ones(n, np.int64)
-        step[0:1] = 0
-        step[1:] = (rank[order[1:]] != rank[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(step)
-        rank, k = new, 2 * k
-        if n == 0 or rank[order[-1]] == n - 1 or k > 2 * n:
-            break
-    raw, place, common = data.tobytes(), order.tolist(), [0] * n
-    where, h = rank.tolist(), 0
-    for i in range(n):
-        if where[i]:
-            j = place[where[i] - 1]
-            while i + h < n and j + h < n and raw[i + h] == raw[j + h]:
-                h += 1
-            common[where[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    out = [0] * n
-    for side in (1, -1):
-        stack: list[list[int]] = []  # (place, least common prefix with what follows on the stack)
-        for q in range(n) if side == 1 else range(n - 1, -1, -1):
-            least = common[q] if side == 1 else common[q + 1] if q + 1 < n else 0
-            while stack and stack[-1][0] > place[q]:
-                least = min(least, stack.pop()[1])
-            if stack:
-                out[place[q]] = max(out[place[q]], least)
-            stack.append([place[q], least if stack else 0])
-    return np.array(out, np.int64)
-
-
 # ---- passes --------------------------------------------------------------------------------------------------------
 
 
@@ -253,8 +245,9 @@ def _firsts(messages: pa.Table) -> set[int]:
 
 def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wide_share: float = WIDE, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
-    tasks = partitions(docs.sparkSession)
-    blocks, buckets = 2 * tasks, tasks
+    size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(2 * partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    buckets = blocks // 2
     width = length - gram + 1
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     dealt = texts(docs).select(block, "doc_id", "text").groupBy("block")
@@ -361,8 +354,10 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wid
         one, two, doc = ([np.frombuffer(x.as_py(), k) for x in batch.column(c)] for c, k in (("name", "<u8"), ("anchor", "<u8"), ("doc", "<i8")))
         source = np.repeat(np.arange(len(one)), [len(x) for x in one])
         one, two, doc = np.concatenate(one), np.concatenate(two), np.concatenate(doc)
-        order, least = _least(one, two, doc)
-        at = np.sort(order[least < doc[order]])
+        order = np.lexsort((doc, two, one))
+        common = np.zeros(len(order), np.int64)  # all of a string or nothing: its hash stands for its bytes
+        common[1:][(one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])] = length
+        at = np.sort(order[factors(common, doc[order], length) >= length])
         cut = np.searchsorted(source[at], np.arange(batch.num_rows + 1))
         used = np.flatnonzero(np.diff(cut))
         parts = [at[cut[j] : cut[j + 1]] for j in used]

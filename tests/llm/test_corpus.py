@@ -392,8 +392,11 @@ def brute_removed(rows, n=50):
     return out
 
 
-def test_repeated_strings(odd, empty):
+def test_repeated_strings(odd, empty, monkeypatch):
     want = brute_removed(plain(odd))
+    with monkeypatch.context() as m:
+        m.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)  # many blocks
+        assert Counter(tuple(r) for r in suffix_dedup.deduplicated(odd).collect()) == want
     for share in (suffix_dedup.WIDE, 0.0, 0.2, 2.0):  # some, all, many and no anchors are wide
         assert Counter(tuple(r) for r in suffix_dedup.deduplicated(odd, wide_share=share).collect()) == want
     assert suffix_dedup.deduplicated(empty).count() == 0
@@ -401,10 +404,24 @@ def test_repeated_strings(odd, empty):
 
 def test_previous_factors():
     r = random.Random(3)
-    for _ in range(80):
-        b = bytes(r.choice(b"ab") for _ in range(r.randint(0, 25)))
-        same = lambda i, j, b=b: next((k for k in range(len(b) - i) if b[i + k] != b[j + k]), len(b) - i)
-        assert suffix_dedup.longest_previous_factor(np.frombuffer(b, np.uint8)).tolist() == [max([0] + [same(i, j) for j in range(i)]) for i in range(len(b))]
+    for _ in range(120):
+        b = bytes(r.choice(b"ab") for _ in range(r.randint(0, 40)))
+        same = lambda i, j, b=b: next((k for k in range(len(b) - max(i, j)) if b[i + k] != b[j + k]), len(b) - max(i, j))
+        order = sorted(range(len(b)), key=lambda i: b[i:])
+        common = np.array([0, *(same(i, j) for i, j in zip(order, order[1:], strict=False))][: len(b)], np.int64)
+        doc = [r.randint(0, 9) for _ in b]
+        for value in (order, [doc[i] for i in order]):  # by place, and by documents that have several suffixes
+            want = [max([0] + [same(i, j) for j, w in zip(order, value, strict=True) if w < v]) for i, v in zip(order, value, strict=True)]
+            assert suffix_dedup.factors(common, np.array(value, np.int64)).tolist() == want
+            assert [x >= 3 for x in want] == (suffix_dedup.factors(common, np.array(value, np.int64), 3) >= 3).tolist()
+
+
+def test_common_prefixes():
+    r = random.Random(4)
+    rows = sorted(bytes(r.choice(b"a\0") for _ in range(16)) for _ in range(300))
+    key = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 16).view(">u8").astype(np.uint64)
+    want = [0, *(next((k for k in range(16) if a[k] != b[k]), 16) for a, b in zip(rows, rows[1:], strict=False))]
+    assert suffix_dedup.common_prefixes(key).tolist() == want
 
 
 # ---- 6: near duplicates --------------------------------------------------------------------------------------------
