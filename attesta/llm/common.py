@@ -30,12 +30,15 @@ _OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one that is set from now on."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset in local mode (tests), a temporary one that is set from now on.
+    On a cluster an unset folder is an error, for no machine's own folder is seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

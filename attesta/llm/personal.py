@@ -1,8 +1,9 @@
 """Personal data by weak supervision: regex, gazetteer and context labelers vote on candidate spans, expectation-maximisation
 estimates how reliable each labeler is, and its posteriors train a final span classifier.
 
-Base spans (email, ip, card, phone) are always found and always stay.  Candidates of further kinds, and ill-formed ones of
-the base kinds, become spans only if the classifier says so.
+Base spans (email, ip, card, phone) are always found and always stay.  Candidates of further kinds become spans only if the
+classifier says so.  Ill-formed candidates of the base kinds never do; they are voted on and fitted with the others, as
+examples of what looks like personal data and is none.
 
 * Pass 1 counts candidates by (kind, votes, shape); the table of counts is bounded by the code space whatever the corpus
   holds, and covers every document.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
@@ -253,11 +255,20 @@ def spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     rest = [s for s in found if s.kind in ADDED]
     if rest:
         keep = model.accepts([cell(s, text) for s in rest])
-        taken = list(base)
+        starts, ends = [], []  # of stretches that base spans cover
+        for s in base:
+            if ends and s.start < ends[-1]:
+                ends[-1] = max(ends[-1], s.end)
+            else:
+                starts.append(s.start)
+                ends.append(s.end)
+        added, end = [], 0
         for s in sorted((s for s, k in zip(rest, keep, strict=True) if k), key=lambda s: (s.start, s.start - s.end, KINDS.index(s.kind))):
-            if all(s.end <= t.start or t.end <= s.start for t in taken):
-                taken.append(s)
-        return base, sorted(taken, key=lambda s: (s.start, KINDS.index(s.kind)))
+            i = bisect_left(starts, s.end) - 1  # the last stretch that begins before its end
+            if s.start >= end and (i < 0 or ends[i] <= s.start):
+                added.append(s)
+                end = s.end
+        return base, sorted(base + added, key=lambda s: (s.start, KINDS.index(s.kind)))
     return base, base
 
 

@@ -2,11 +2,12 @@
 
 Native: DataFrame and SQL functions only.  The rows that move are (doc_id, size, checksum), never texts.
 
-1. The small rows are dealt by ranges of doc_id into more pieces than tasks and written once, each with the number of
+1. The small rows are dealt by ranges of (doc_id, size, checksum), so that rows of one doc_id can be split, into more pieces than tasks and written once, each with the number of
    its piece, so that later passes see the same pieces even after executors are lost.
 2. Per-piece totals, one row a piece, get their prefix sums; their number is bounded by ``pieces``.
 3. Inside a piece, running sums start from the piece's base; a row belongs to the shard in whose equal share of all bytes
    the middle of the row lies.
+4. Shards and global positions are written; where each shard starts is one row a shard, and slots count from there.
 
 Defined results: a null text weighs ``overhead``; a null doc_id sorts first; rows with equal doc_id stand side by side in
 the order of size and checksum; an empty table gives no rows.  ``sizes near equal``: a shard's bytes differ from the mean
@@ -39,7 +40,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD,
     spark = docs.sparkSession
     pieces = pieces or 4 * partitions(spark)
     order = ["doc_id", "size", "text_crc32"]
-    dealt = written(sized(docs, overhead).repartitionByRange(pieces, "doc_id").withColumn("piece", F.spark_partition_id()), "sizes")
+    dealt = written(sized(docs, overhead).repartitionByRange(pieces, *order).withColumn("piece", F.spark_partition_id()), "sizes")
 
     totals = dealt.groupBy("piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,6 +64,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, overhead: int = OVERHEAD,
             ).alias("shard"),
         )
     )
+    placed = written(placed, "positions")
     firsts = placed.groupBy("shard").agg(F.min("position").alias("first"))
     return placed.join(F.broadcast(firsts), "shard").select(*order, "shard", (F.col("position") - F.col("first")).alias("slot"))
 

@@ -3,8 +3,9 @@
 A byte-level vocabulary splits a text before it merges.  Two kinds of place always lie between two pieces of that split:
 before a space that a character other than white space follows, and between a letter and a punctuation mark after it.  So
 texts are cut there, by vectorised comparisons over their bytes; each distinct piece is encoded once in a worker, its ids
-are kept in flat arrays under a sorted 64-bit hash, and a document is the concatenation of its pieces' ids.  Pieces of
-common scripts go to the library's merging model directly, others through the whole tokenizer.  A vocabulary of another
+are kept in flat arrays under a sorted 64-bit hash, and a document is the concatenation of its pieces' ids.  A kept piece is
+used only where its length and its first and last eight bytes are the same too (all of a piece of up to 16 bytes); other
+pieces of that hash, and pieces of more than ``LONGEST`` bytes, are encoded where they stand.  Pieces of common scripts go to the library's merging model directly, others through the whole tokenizer.  A vocabulary of another
 kind takes whole texts.  ``tests/llm`` holds the ways against each other.
 """
 
@@ -24,8 +25,10 @@ from attesta.llm.common import Slice, SpanHash, slices
 
 #: Bytes of text encoded at once: fewer, larger slices find more pieces equal before they are looked up.
 ENCODED_BYTES = 1 << 20
-#: Pieces that a worker keeps (about 25 bytes each); beyond that it starts anew.
-KEPT_PIECES = 4_000_000
+#: Pieces that a worker keeps (about 45 bytes each), and ids of them; beyond that it starts anew.
+KEPT_PIECES, KEPT_IDS = 3_000_000, 1 << 25
+#: Bytes of a piece that is kept: constructed strings whose hashes agree are longer.
+LONGEST = 256
 #: Characters from here on take the library's own way, for classes of later Unicode versions may differ.
 _PLAIN = "ɐ"
 
@@ -53,6 +56,14 @@ def cuts(s: Slice) -> np.ndarray:
     return np.flatnonzero(at[:-1])
 
 
+def ends(s: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last eight bytes of each piece, or what there is of them, as words."""
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(8, np.uint8), s.data, np.zeros(8, np.uint8)]), 8)
+    rest = (8 * (8 - np.minimum(end - start, 8))).astype(np.uint64)  # bits of a word that aren't the piece's
+    head, tail = (around[at].view("<u8").ravel().astype(np.uint64) for at in (start + 8, end))
+    return head << rest, tail >> rest
+
+
 class Encoder:
     """``encode(slice)``: (ids of all its documents, first id of each document)."""
 
@@ -76,6 +87,7 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.place = np.zeros(0, np.int32)  # of a key in first and count
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.size, self.head, self.tail = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.flat = np.zeros(1 << 16, self.dtype)
         self.used = 0
 
@@ -95,19 +107,28 @@ class Encoder:
             i += n
         return out
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _store(self, pieces: list[str]) -> np.ndarray:
+        """Places of the pieces' ids."""
         found = list(map(self._piece, pieces))
         count = np.fromiter(map(len, found), np.int32, len(found))
         total = int(count.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.dtype)])
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.dtype, total)
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.place = np.insert(self.place, at, np.arange(len(keys), dtype=np.int32) + len(self.first))
+        place = np.arange(len(found), dtype=np.int32) + len(self.first)
         self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.used += total
+        return place
+
+    def _learn(self, keys: np.ndarray, place: np.ndarray, *marks: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, place)
+        self.size, self.head, self.tail = (np.insert(old, at, new) for old, new in zip((self.size, self.head, self.tail), marks, strict=True))
+
+    @staticmethod
+    def hashes(s: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return SpanHash(s.data).of(start, end)
 
     def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         if self.split is None:
@@ -118,16 +139,32 @@ class Encoder:
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(s.rows + 1, np.int64)
         end = np.concatenate([start[1:], [len(s.data)]])
-        keys, example, back = np.unique(SpanHash(s.data).of(start, end), return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT_PIECES:
+        marks = (end - start, *ends(s, start, end))
+        if len(self.first) > KEPT_PIECES or self.used > KEPT_IDS:
             self._clear()
+        raw: bytes | None = None
+
+        def texts(at: np.ndarray) -> list[str]:
+            nonlocal raw
+            raw = raw if raw is not None else s.data.tobytes()
+            return [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+
+        keys, example, back = np.unique(self.hashes(s, start, end), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        new = np.flatnonzero(((self.keys[at] != keys) if len(self.keys) else np.ones(len(keys), bool)) & (marks[0][example] <= LONGEST))
         if len(new):
-            raw = s.data.tobytes()
-            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        place = self.place[at][back]
+            self._learn(keys[new], self._store(texts(example[new])), *(m[example[new]] for m in marks))
+        place = np.zeros(len(keys), np.int32)
+        own = np.ones(len(start), bool)  # pieces that are encoded where they stand
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            place = self.place[at]
+            own = (self.keys[at] != keys)[back]
+            for mine, kept in zip(marks, (self.size, self.head, self.tail), strict=True):
+                own |= mine != kept[at][back]
+        place = place[back]
+        if own.any():
+            place[own] = self._store(texts(np.flatnonzero(own)))
         count = self.count[place].astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(self.first[place] - sums[:-1], count) + np.arange(sums[-1])]

@@ -151,6 +151,26 @@ def test_encoder():
             assert ids[first[i] : first[i + 1]].tolist() == reference_ids(texts[s.start + i])
 
 
+def test_encoder_tells_pieces_of_one_hash_apart(monkeypatch):
+    """Every piece has the same hash: ids are still those of the library, from kept pieces and from others."""
+    monkeypatch.setattr(tokens.Encoder, "hashes", staticmethod(lambda s, start, end: ((end - start) % 3).astype(np.uint64)))
+    texts = [*TRICKY, *(t for _, t in random_docs() if t and len(t) < 5000), "a" * 400 + " b" + "c" * 300, "abcdefgh_x_ijklmnop abcdefgh_y_ijklmnop"]
+    tool = tokens.Encoder(tokens.tokenizer_path())
+    for s in slices(pa.array(texts * 2), 300):
+        ids, first = tool.encode(s)
+        for i in range(s.rows):
+            assert ids[first[i] : first[i + 1]].tolist() == reference_ids((texts * 2)[s.start + i])
+
+
+def test_encoder_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 20)
+    tool = tokens.Encoder(tokens.tokenizer_path())
+    texts = [t for _, t in random_docs() if t and len(t) < 5000]
+    for s in slices(pa.array(texts), 200):
+        ids, first = tool.encode(s)
+        assert [ids[first[i] : first[i + 1]].tolist() for i in range(s.rows)] == [reference_ids(t) for t in texts[s.start : s.stop]]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -181,7 +201,12 @@ def test_packing(odd, empty):
     assert {r.sequence_id: len(r.ids) for r in whole} == {k: sum(x.length for x in v) for k, v in by.items()}
 
 
-def test_token_files(spark, odd, empty):
+@pytest.mark.parametrize("size", [64 << 20, 3000])
+def test_token_files(spark, odd, empty, monkeypatch, size):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", size)
+    # the doc_id whose mixed value is 0, as is the null key's
+    clash = odd.limit(1).withColumn("doc_id", F.lit(0).cast("long"))
+    odd = odd.union(clash)
     files = token_files.TokenFiles.write(odd)
     got = sorted((tuple(r) for r in files.get(odd).collect()), key=lambda r: r[1])
     start, want = 0, []
@@ -190,17 +215,53 @@ def test_token_files(spark, odd, empty):
         want.append((d, start, len(ids), crc(ids)))
         start += len(ids)
     assert got == want
+    for shard in files.bases:  # rows one by one, and ids a few at a time, are the same
+        with token_files._In(f"{files.folder}/shard-{shard:05d}.docs") as f, token_files._In(f"{files.folder}/shard-{shard:05d}.bin") as g:
+            row = np.arange(0, int(f.array("<u8", 1, 0)[0]), 2)
+            whole = token_files._spans(f, row)
+            ids = [x.tolist() for x in token_files._payloads(g, 2, *whole[2:])]
+            with monkeypatch.context() as m:
+                m.setattr(token_files, "SPARSE", 0)
+                m.setattr(token_files, "READ_BYTES", 100)
+                assert [x.tolist() for x in token_files._spans(f, row)] == [x.tolist() for x in whole]
+                assert [x.tolist() for x in token_files._payloads(g, 2, *whole[2:])] == ids
     absent = spark.createDataFrame([(10**6,), (-1,), (7,)], "doc_id long")
     assert {r.doc_id for r in files.get(absent).collect()} <= {7}
     assert files.get(spark.createDataFrame([(501,)], "doc_id long"), with_ids=True).first().ids == [0]
+    nulls = files.get(spark.createDataFrame([(None,)], "doc_id long")).collect()
+    assert len(nulls) == odd.where("doc_id is null").count() and {r.doc_id for r in nulls} == {None}
+    without = token_files.TokenFiles.write(odd.where("doc_id is not null"))
+    assert without.get(spark.createDataFrame([(None,)], "doc_id long")).count() == 0
     assert token_files.TokenFiles.write(empty).get(empty).count() == 0
 
 
+def test_look_up_reads_little(spark, tmp_path):
+    """One key's look-up reads a few dozen bytes of its index part, and only its span of the shard."""
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 100_000).astype(np.uint64))
+    path = tmp_path / "index-00000.mph"
+    path.write_bytes(token_files._index_bytes(keys, keys % np.uint64(7), np.arange(len(keys)), np.ones(len(keys), int)))
+    read = 0
+
+    class Counted(token_files._In):
+        def array(self, kind, n, at):
+            nonlocal read
+            read += n * np.dtype(kind).itemsize
+            return super().array(kind, n, at)
+
+    token_files._In, kept = Counted, token_files._In
+    try:
+        held = token_files._held(str(path), keys[500:501])
+    finally:
+        token_files._In = kept
+    assert held["row"].tolist() == [500] and held["shard"].tolist() == [int(keys[500] % np.uint64(7))]
+    assert read < 1000
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 1000, 50_000):
         keys = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
-        tool = token_files.PerfectHash.build(keys)
-        assert sorted(tool.slots(keys).tolist()) == list(range(len(keys))) and tool.size == len(keys)
+        tool = token_files.PerfectHash.of(token_files.PerfectHash.build(keys))
+        assert sorted(tool.slots(keys).tolist()) == list(range(len(keys)))
 
 
 # ---- 2: personal data ----------------------------------------------------------------------------------------------
@@ -244,6 +305,20 @@ def test_base_spans(spark, odd, empty):
     assert personal.found_spans(empty, personal.fit(empty)).count() == 0
 
 
+def test_added_spans_overlap_nothing():
+    r = random.Random(7)
+    every = personal.Model(np.concatenate([np.zeros(personal.features(np.zeros((1, 9), int)).shape[1] - 1), [9.0]]), 0.5)  # accepts all
+    for _ in range(200):
+        t = " ".join(r.choice(["123-45-6789", "(212) 555-0100", "a1B2" * 6, "x@y.org", "joe [at] ex.com", "DE44 5001 0517 5407 3249 31", "+1 212 555 0100", "4111 1111 1111 1111", "w"]) for _ in range(r.randint(0, 12)))
+        base, found = personal.spans(t, every)
+        want = list(base)
+        for s in sorted((s for s in personal.candidates(t) if s.kind in personal.ADDED), key=lambda s: (s.start, s.start - s.end, personal.KINDS.index(s.kind))):
+            if all(s.end <= x.start or x.end <= s.start for x in want):
+                want.append(s)
+        assert found == sorted(want, key=lambda s: (s.start, personal.KINDS.index(s.kind)))
+    assert len(personal.spans("123-45-6789 x@y.org " * 20_000, every)[1]) == 40_000  # linear
+
+
 def test_masking(spark, odd):
     docs = spark.createDataFrame([(1, "é a@b.cc x", 10), (2, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in personal.masked(docs, personal.fit(docs)).orderBy("doc_id").collect()] == [(1, "é <EMAIL> x", 11), (2, None, None)]
