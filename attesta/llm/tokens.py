@@ -4,8 +4,8 @@ A byte-level vocabulary splits a text before it merges.  Two kinds of place alwa
 before a space that a character other than white space follows, and between a letter and a punctuation mark after it.  So
 texts are cut there, by vectorised comparisons over their bytes; each distinct piece is encoded once in a worker, its ids
 are kept in flat arrays under a sorted 64-bit hash, and a document is the concatenation of its pieces' ids.  A kept piece is
-used only where its length and its first and last eight bytes are the same too (all of a piece of up to 16 bytes); other
-pieces of that hash, and pieces of more than ``LONGEST`` bytes, are encoded where they stand.  Pieces of common scripts go to the library's merging model directly, others through the whole tokenizer.  A vocabulary of another
+used only where a second word agrees too, made of its length and its first and last eight bytes (all of a piece of up to 16
+bytes); other pieces of that hash, and pieces of more than ``LONGEST`` bytes, are encoded where they stand.  Pieces of common scripts go to the library's merging model directly, others through the whole tokenizer.  A vocabulary of another
 kind takes whole texts.  ``tests/llm`` holds the ways against each other.
 """
 
@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from attesta.llm.common import Slice, SpanHash, slices
+from attesta.llm.common import Slice, SpanHash, mix, slices
 
 #: Bytes of text encoded at once: fewer, larger slices find more pieces equal before they are looked up.
 ENCODED_BYTES = 1 << 20
-#: Pieces that a worker keeps (about 45 bytes each), and ids of them; beyond that it starts anew.
-KEPT_PIECES, KEPT_IDS = 3_000_000, 1 << 25
+#: Pieces that a worker keeps (about 35 bytes each), and ids of them; beyond that it starts anew.
+KEPT_PIECES, KEPT_IDS = 2_000_000, 1 << 24
 #: Bytes of a piece that is kept: constructed strings whose hashes agree are longer.
 LONGEST = 256
 #: Characters from here on take the library's own way, for classes of later Unicode versions may differ.
@@ -56,12 +56,12 @@ def cuts(s: Slice) -> np.ndarray:
     return np.flatnonzero(at[:-1])
 
 
-def ends(s: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the last eight bytes of each piece, or what there is of them, as words."""
+def marks(s: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A word from the length and the first and last eight bytes of each piece, or what there is of them."""
     around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(8, np.uint8), s.data, np.zeros(8, np.uint8)]), 8)
     rest = (8 * (8 - np.minimum(end - start, 8))).astype(np.uint64)  # bits of a word that aren't the piece's
-    head, tail = (around[at].view("<u8").ravel().astype(np.uint64) for at in (start + 8, end))
-    return head << rest, tail >> rest
+    head, tail = (around[at].view("<u8").ravel().astype(np.uint64, copy=False) for at in (start + 8, end))
+    return mix(mix(head << rest) + (tail >> rest) * np.uint64(0x9E3779B97F4A7C15) + (end - start).astype(np.uint64))
 
 
 class Encoder:
@@ -87,7 +87,7 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.place = np.zeros(0, np.int32)  # of a key in first and count
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.size, self.head, self.tail = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.marks = np.zeros(0, np.uint64)
         self.flat = np.zeros(1 << 16, self.dtype)
         self.used = 0
 
@@ -121,10 +121,9 @@ class Encoder:
         self.used += total
         return place
 
-    def _learn(self, keys: np.ndarray, place: np.ndarray, *marks: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, place: np.ndarray, own: np.ndarray) -> None:
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, place)
-        self.size, self.head, self.tail = (np.insert(old, at, new) for old, new in zip((self.size, self.head, self.tail), marks, strict=True))
+        self.keys, self.place, self.marks = np.insert(self.keys, at, keys), np.insert(self.place, at, place), np.insert(self.marks, at, own)
 
     @staticmethod
     def hashes(s: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -139,7 +138,7 @@ class Encoder:
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(s.rows + 1, np.int64)
         end = np.concatenate([start[1:], [len(s.data)]])
-        marks = (end - start, *ends(s, start, end))
+        mark = marks(s, start, end)
         if len(self.first) > KEPT_PIECES or self.used > KEPT_IDS:
             self._clear()
         raw: bytes | None = None
@@ -151,17 +150,15 @@ class Encoder:
 
         keys, example, back = np.unique(self.hashes(s, start, end), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(((self.keys[at] != keys) if len(self.keys) else np.ones(len(keys), bool)) & (marks[0][example] <= LONGEST))
+        new = np.flatnonzero(((self.keys[at] != keys) if len(self.keys) else np.ones(len(keys), bool)) & ((end - start)[example] <= LONGEST))
         if len(new):
-            self._learn(keys[new], self._store(texts(example[new])), *(m[example[new]] for m in marks))
+            self._learn(keys[new], self._store(texts(example[new])), mark[example[new]])
         place = np.zeros(len(keys), np.int32)
         own = np.ones(len(start), bool)  # pieces that are encoded where they stand
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             place = self.place[at]
-            own = (self.keys[at] != keys)[back]
-            for mine, kept in zip(marks, (self.size, self.head, self.tail), strict=True):
-                own |= mine != kept[at][back]
+            own = (self.keys[at] != keys)[back] | (mark != self.marks[at][back])
         place = place[back]
         if own.any():
             place[own] = self._store(texts(np.flatnonzero(own)))
