@@ -6,6 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# ---- fixed values --------------------------------------------------------------------------------------------------
+#: Formats of what screens show: whole quantities, abbreviated ones, tiers; two digits without a leading zero.
+EXACT = r"[xX×]?(0|[1-9][0-9]*|[1-9][0-9]{0,2}(?:,[0-9]{3})+)"
+SHORT = r"[xX×]?([1-9][0-9]*(?:\.[0-9]{1,3})?)[kK]"
+TIER = "[Tt](10|[1-9])"
+NUMBER = "([1-9][0-9]?)"
+#: Names that file systems reserve.
+RESERVED = r"(?:CON|PRN|AUX|NUL|COM[0-9]|LPT[0-9])"
+#: Beginnings of the names of locales, as POSIX and as Windows write them, and the language of each; other locales are English.
+LOCALES = {"ko_": "kr", "ja_": "jp", "zh_": "cn", "korea": "kr", "japan": "jp", "chinese": "cn"}
+#: The end of the names of blueprints' icons.
+BLUEPRINT = "_piece"
+# --------------------------------------------------------------------------------------------------------------------
+
+
 def _whole(pattern: str) -> str:
     return rf"\A(?:{pattern})\z"
 
@@ -28,28 +43,23 @@ def family(field: Column) -> Column:
 def parse_field(text: Column, field: Column) -> Column:
     """The number that a short label shows for a field; null if it isn't exactly of the field's grammar and range."""
     t, kind, potential = F.upper(stripped(text)), family(field), field.startswith("potential_")
-    number = "([1-9][0-9]?)"
-    t = F.when(potential & t.rlike(_whole(number)), F.concat(F.lit("LV."), t)).otherwise(t)
+    t = F.when(potential & t.rlike(_whole(NUMBER)), F.concat(F.lit("LV."), t)).otherwise(t)
     found = (
-        F.when(kind == "tier", F.regexp_extract(t, _whole(f"T{number}"), 1))
-        .when(kind == "bond", F.regexp_extract(t, _whole(number), 1))
-        .otherwise(F.regexp_extract(t, _whole(f"LV[.,]?{number}"), 1))
+        F.when(kind == "tier", F.regexp_extract(t, _whole(f"T{NUMBER}"), 1))
+        .when(kind == "bond", F.regexp_extract(t, _whole(NUMBER), 1))
+        .otherwise(F.regexp_extract(t, _whole(f"LV[.,]?{NUMBER}"), 1))
     )
     most = F.when(potential, 25).when(field == "gear", 2).when(kind == "tier", 10).when(field == "ex", 5).when(kind == "skill", 10).otherwise(100)
     value = F.nullif(found, F.lit("")).try_cast("int")
     return F.when((t == "MAX") & (kind == "skill"), F.when(field == "ex", 5).otherwise(10)).otherwise(F.when(value <= most, value)).cast("int")
 
 
-_EXACT = r"[xX×]?(0|[1-9][0-9]*|[1-9][0-9]{0,2}(?:,[0-9]{3})+)"
-_SHORT = r"[xX×]?([1-9][0-9]*(?:\.[0-9]{1,3})?)[kK]"
-
-
 def parse_quantity(text: Column) -> Column:
     """struct(value, displayed, status): an abbreviation shows a number but never gives an exact value."""
     t = stripped(F.coalesce(text, F.lit("")))
-    exact, short = t.rlike(_whole(_EXACT)), t.rlike(_whole(_SHORT))
-    value = F.regexp_replace(F.regexp_extract(t, _whole(_EXACT), 1), ",", "").try_cast("long")
-    shown = (F.regexp_extract(t, _whole(_SHORT), 1).try_cast("decimal(18,3)") * 1000).cast("long")
+    exact, short = t.rlike(_whole(EXACT)), t.rlike(_whole(SHORT))
+    value = F.regexp_replace(F.regexp_extract(t, _whole(EXACT), 1), ",", "").try_cast("long")
+    shown = (F.regexp_extract(t, _whole(SHORT), 1).try_cast("decimal(18,3)") * 1000).cast("long")
     return F.struct(
         F.when(exact, value).alias("value"),
         F.when(exact, value).when(short, shown).alias("displayed"),
@@ -58,7 +68,7 @@ def parse_quantity(text: Column) -> Column:
 
 
 def parse_tier(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(stripped(text), _whole("[Tt](10|[1-9])"), 1), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(stripped(text), _whole(TIER), 1), F.lit("")).try_cast("int")
 
 
 def normalized_url(url: Column) -> Column:
@@ -74,9 +84,6 @@ def flat_filename(url: Column) -> Column:
     return F.translate(F.regexp_replace(url, r"\A[A-Za-z]+://", ""), "/:?&=", "_____")
 
 
-_RESERVED = r"(?:CON|PRN|AUX|NUL|COM[0-9]|LPT[0-9])"
-
-
 def safe_name(path: Column) -> Column:
     """Whether a relative path is safe on any system: plain characters, no empty, dotted or reserved parts."""
     parts = F.split(path, "/")
@@ -85,7 +92,7 @@ def safe_name(path: Column) -> Column:
         & ~path.startswith("/")
         & ~path.contains("//")
         & F.forall(parts, lambda p: ~p.isin(".", "..") & ~p.endswith("."))
-        & ~F.exists(parts, lambda p: F.upper(p).rlike(rf"\A{_RESERVED}(?:\..*)?\z")),
+        & ~F.exists(parts, lambda p: F.upper(p).rlike(rf"\A{RESERVED}(?:\..*)?\z")),
         F.lit(False),
     )
 
@@ -131,3 +138,24 @@ def collapsed_score(ids: Column, scores: Column) -> Column:
     """The least score of the classes that ``collapsed`` keeps; null if there are none."""
     kept = F.filter(F.transform(ids, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.get(scores, i).alias("s"))), lambda e: (e["x"] != 0) & ((e["i"] == 0) | (e["x"] != F.get(ids, e["i"] - 1))))
     return F.array_min(F.transform(kept, lambda e: e["s"]))
+
+
+def language(locale: Column) -> Column:
+    """The language of a locale's name, with or without an encoding after a dot; English where it is unknown or null."""
+    name = F.lower(F.substring_index(locale, ".", 1))
+    out = F.lit("en")
+    for start, lang in LOCALES.items():
+        out = F.when(name.startswith(start), lang).otherwise(out)
+    return out
+
+
+def is_blueprint(icon: Column) -> Column:
+    return icon.endswith(BLUEPRINT)
+
+
+def escaped(x: Column) -> Column:
+    """Text as HTML shows it."""
+    out = x
+    for raw, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(shown))
+    return out

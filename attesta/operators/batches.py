@@ -6,11 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.text import is_identifier, natural_key, safe_name
+from attesta.scratch import written
+
+
+def positions(rows: DataFrame, order: list[Column], column: str, pieces: int | None = None) -> DataFrame:
+    """``rows`` with their places from 0 in a global order: rows are dealt by ranges of the order, counted by piece, and numbered
+    inside their piece from where it starts, so no task sees more than a range of them.  The pieces are written once: ranges that
+    are drawn again need not be the same."""
+    pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"_order{i}" for i in range(len(order))]
+    keyed = written(rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(pieces, *keys).withColumn("_piece", F.spark_partition_id()), "ranges")
+    counts = keyed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    bases = counts.select("_piece", F.coalesce(F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row a piece
+    own = F.row_number().over(Window.partitionBy("_piece").orderBy(*keys)) - 1
+    return keyed.withColumn("_own", own).join(F.broadcast(bases), "_piece").withColumn(column, (F.col("_base") + F.col("_own")).cast("long")).drop("_piece", "_own", "_base", *keys)
 
 
 def numbered(rows: DataFrame, name: str = "name") -> DataFrame:
-    """Rows in natural order of their names, with an ordinal from 0; for the files of one input."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.orderBy(natural_key(F.col(name)), name)) - 1)
+    """Rows in natural order of their names, with an ordinal from 0."""
+    return positions(rows, [natural_key(F.col(name)), F.col(name)], "ordinal")
 
 
 def content_hash(data: Column) -> Column:
@@ -37,6 +51,18 @@ def canonical_hash(entries: Column) -> Column:
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries)))), 256)
 
 
+def revision(parts: DataFrame, order: str = "name", digest: str = "sha256") -> DataFrame:
+    """One row (revision): a hash of the parts' digests in order, so a change of any part, or of their order, changes it.  For the
+    few files that one configuration consists of."""
+    listed = F.array_sort(F.collect_list(F.struct(order, digest)))
+    return parts.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x[digest]), ""), 256).alias("revision"))
+
+
+def sample_targets(samples: DataFrame, targets: DataFrame) -> DataFrame:
+    """(idx, image): the path that each chosen sample is written to; samples nobody chose go."""
+    return samples.join(targets.select("idx", "image"), "idx").select("idx", "image")
+
+
 def bad_timestamps(rows: DataFrame, column: str = "timestamp") -> DataFrame:
     """Timestamps that aren't finite or are negative."""
     t = F.col(column)

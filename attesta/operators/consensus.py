@@ -7,7 +7,7 @@ another key.  A value is confirmed by two images, never by a majority; a conflic
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["key", "observation", "entity_id", "name", "screenshots", "field", "value", "status", "images"]
@@ -77,6 +77,22 @@ def merged_visits(visits: DataFrame) -> DataFrame:
     return single.unionByName(consensus(several).select(single.columns))
 
 
+def identified(entities: DataFrame) -> DataFrame:
+    """One row: entities, and how many of them are identified."""
+    return entities.agg(F.count_distinct("key").alias("entities"), F.count_distinct(F.when(F.col("entity_id").isNotNull(), F.col("key"))).alias("identified"))
+
+
+def final_values(entities: DataFrame) -> DataFrame:
+    """(key, entity_id, name, identity_status, fields): of each field only its value and status, without evidence."""
+    pair = F.struct("field", F.struct("value", "status"))
+    return entities.groupBy("key", "entity_id", "name", "identity_status").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), pair)))).alias("fields"))
+
+
+def by_quality(qualities: DataFrame) -> DataFrame:
+    """Observations of each key with their rank: those with more values first, else in their own order."""
+    return qualities.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("quality"), "observation")))
+
+
 def split_observations(rows: DataFrame, reasons: tuple[str, ...] = ("not_entity_screen", "layout_unresolved")) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): rows whose ``rejection`` is one of ``reasons`` never enter the consensus."""
     bad = F.coalesce(F.col("rejection").isin(*reasons), F.lit(False))
@@ -92,14 +108,18 @@ def review_queue(entities: DataFrame) -> DataFrame:
     settled = ("confirmed", "corrected")
     open_ = F.col("field").isNotNull() & ~F.col("status").isin(*settled)
     found = entities.groupBy("key", "entity_id", "identity_status").agg(F.count_if(open_).alias("n_fields"), F.array_sort(F.collect_set(F.when(open_, F.col("field")))).alias("fields"))
-    return found.where((F.col("n_fields") > 0) | ~F.col("identity_status").isin(*settled))
+    return found.where(_open(settled))
+
+
+def _open(settled: tuple[str, ...] = ("confirmed", "corrected")) -> Column:
+    return (F.col("n_fields") > 0) | ~F.col("identity_status").isin(*settled)
 
 
 def review_summary(entities: DataFrame) -> DataFrame:
     """One row: entities, those that need review, and open fields."""
-    total = entities.agg(F.count_distinct("key").alias("entities"))
-    queue = review_queue(entities).agg(F.count(F.lit(1)).alias("needing_review"), F.coalesce(F.sum("n_fields"), F.lit(0)).alias("open_fields"))
-    return total.crossJoin(queue)  # one row each
+    open_ = F.col("field").isNotNull() & ~F.col("status").isin("confirmed", "corrected")
+    found = entities.groupBy("key", "identity_status").agg(F.count_if(open_).alias("n_fields"))
+    return found.agg(F.count(F.lit(1)).alias("entities"), F.count_if(_open()).alias("needing_review"), F.coalesce(F.sum("n_fields"), F.lit(0)).alias("open_fields"))
 
 
 def frame_quality(rows: DataFrame) -> DataFrame:

@@ -87,3 +87,45 @@ def frame_signatures(frames: DataFrame, blocks: tuple[int, int] = (24, 100)) ->
             yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(out, pa.list_(pa.float32()))], ["idx", "signature"])
 
     return frames.select(F.col("idx").cast("long").alias("idx"), "width", "height", "pixels").mapInArrow(run, "idx long, signature array<float>")
+
+
+def grey_measures(frames: DataFrame, dark: int = 130, percents: tuple[int, ...] = (95, 99)) -> DataFrame:
+    """(idx, dark, p95, p99) of grey frames (idx, pixels as bytes): the share of pixels below ``dark``, and exact percentiles."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = [np.frombuffer(x, np.uint8) for x in batch.column("pixels").to_pylist()]
+            shares = pa.array([float((x < dark).mean()) if len(x) else None for x in images], pa.float64())
+            cuts = [pa.array([float(np.percentile(x, p)) if len(x) else None for x in images], pa.float64()) for p in percents]
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), shares, *cuts], ["idx", "dark", *(f"p{p}" for p in percents)])
+
+    return frames.select(F.col("idx").cast("long").alias("idx"), "pixels").mapInArrow(run, "idx long, dark double" + "".join(f", p{p} double" for p in percents))
+
+
+def colour_shares(frames: DataFrame, low: tuple[int, int, int], high: tuple[int, int, int], region: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)) -> DataFrame:
+    """(idx, share) of frames (idx, width, height, pixels as blue, green, red bytes): the share of a region's pixels (left, top,
+    right, bottom in shares of the frame) whose hue (half degrees), saturation and value lie within bounds."""
+    import numpy as np
+    import pyarrow as pa
+
+    def hsv(image: np.ndarray) -> np.ndarray:
+        b, g, r = (image[..., i].astype(float) for i in range(3))
+        top = image.max(-1).astype(float)
+        spread = top - image.min(-1)
+        some = np.maximum(spread, 1)
+        hue = np.select([spread == 0, top == r, top == g], [0.0, (g - b) / some * 60, 120 + (b - r) / some * 60], 240 + (r - g) / some * 60)
+        return np.stack([np.rint(np.where(hue < 0, hue + 360, hue) / 2) % 180, np.rint(np.divide(255 * spread, np.maximum(top, 1))), top], -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, upper, right, lower = region
+        for batch in batches:
+            out = []
+            for w, h, data in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "pixels")), strict=True):
+                image = np.frombuffer(data, np.uint8).reshape(h, w, 3)[int(h * upper) : int(h * lower), int(w * left) : int(w * right)]
+                x = hsv(image)
+                out.append(float(((x >= low) & (x <= high)).all(-1).mean()) if image.size else None)
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(out, pa.float64())], ["idx", "share"])
+
+    return frames.select(F.col("idx").cast("long").alias("idx"), "width", "height", "pixels").mapInArrow(run, "idx long, share double")

@@ -54,6 +54,11 @@ def difference(before: Snapshot, after: Snapshot) -> Difference:
     return Difference(id_difference(before.entities, after.entities), field_changes(before, after), identity, loose(before, "before").union(loose(after, "after")))
 
 
+def in_order(found: Difference) -> Difference:
+    """The same rows in the order in which they are shown: ids, then fields."""
+    return Difference(found.ids.orderBy("side", "entity_id"), found.changes.orderBy("entity_id", "field"), found.identity_changes.orderBy("entity_id"), found.unresolved.orderBy("side", "key"))
+
+
 class Merge(NamedTuple):
     snapshot: Snapshot
     applied: DataFrame  # (entity_id, field, before, after)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.domain import CATEGORIES
+from attesta.operators.rewards import multiplier
 from attesta.operators.snapshots import Snapshot
 
 
@@ -63,7 +64,7 @@ def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", (F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long") * 100 + F.col("p_size")).alias("group_id"))
     stage = order.select("o_orderkey", F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.substring("o_orderpriority", 1, 1).cast("int") % 4) + 1).alias("category"), (F.col("o_orderkey") % 2).alias("difficulty"))
     percent = F.round(F.col("l_discount") * 100).cast("int")
-    factor = F.when(F.col("category") == "Campaign", F.when(F.col("difficulty") == 0, 2.0).otherwise(3.0)).when(F.col("category") == "Bounty", 2.0).when(F.col("category") == "WeekDungeon", 1.0).otherwise(4.0)
+    factor = multiplier(F.col("category"), F.col("difficulty"), normal=2.0, hard=3.0, bounty=2.0, school=4.0)
     grouped = F.col("l_linenumber") % 3 == 0
     joined = item.join(stage, item["l_orderkey"] == stage["o_orderkey"]).join(part, item["l_partkey"] == part["p_partkey"])
     return joined.select(

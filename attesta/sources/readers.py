@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
+import stat
 import urllib.request
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,12 +16,14 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from attesta.domain import SOURCE
-from attesta.operators.batches import numbered
+from attesta.functions.text import padded
+from attesta.operators.batches import manifest_problems, numbered
 from attesta.operators.snapshots import Snapshot
 
 # ---- fixed values --------------------------------------------------------------------------------------------------
 DATASETS = ("students", "groups", "stages", "items", "equipment", "furniture")
 REGIONS = ("jp", "global", "cn", "en")
+MAPPING_PARTS = ("class_to_name", "name_to_class", "num_classes", "categories")
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp")
 # --------------------------------------------------------------------------------------------------------------------
 
@@ -29,17 +34,19 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, path: str, dataset: str, region: str) -> DataFrame:
-    """(dataset, region, id, name, entry, sha256): a JSON object from ids to entries, which stay as VARIANT."""
+    """(dataset, region, ordinal, id, name, entry, sha256): a JSON object from ids to entries, which stay as VARIANT; ``ordinal`` is
+    an entry's place in the file, from 0."""
     if dataset not in DATASETS or region not in REGIONS:
         raise ValueError(f"unknown catalogue: {dataset}, {region}")
-    files = _whole(spark, path).select(F.sha2("text", 256).alias("sha256"), F.parse_json("text").alias("data"))
-    return _entries(files, dataset, region)
+    return _entries(_whole(spark, path).select("text"), dataset, region)
 
 
 def _entries(files: DataFrame, dataset: str, region: str) -> DataFrame:
-    files.createOrReplaceTempView("attesta_catalogue")
+    files = files.select("text", F.sha2("text", 256).alias("sha256"))
+    files.select("sha256", F.parse_json("text").alias("data")).createOrReplaceTempView("attesta_catalogue")
     rows = files.sparkSession.sql("SELECT f.sha256, e.key, e.value AS entry FROM attesta_catalogue f, LATERAL variant_explode(f.data) e")
-    return rows.select(F.lit(dataset).alias("dataset"), F.lit(region).alias("region"), F.col("key").try_cast("long").alias("id"), F.expr("try_variant_get(entry, '$.Name', 'string')").alias("name"), "entry", "sha256")
+    order = files.select("sha256", F.posexplode(F.json_object_keys("text")).alias("ordinal", "key"))  # a VARIANT's own keys are sorted
+    return rows.join(order, ["sha256", "key"]).select(F.lit(dataset).alias("dataset"), F.lit(region).alias("region"), "ordinal", F.col("key").try_cast("long").alias("id"), F.expr("try_variant_get(entry, '$.Name', 'string')").alias("name"), "entry", "sha256")
 
 
 def typed(catalogue_: DataFrame, schema: T.StructType | str) -> DataFrame:
@@ -81,6 +88,86 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return numbered(found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("content").alias("data"), F.sha2("content", 256).alias("sha256")))
 
 
+def listed_images(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(ordinal, name, path, data, sha256) of image files in the order in which they are listed; a missing one stops the query."""
+    wanted = spark.createDataFrame(list(enumerate(paths)), "ordinal long, wanted string")
+    found = spark.read.format("binaryFile").load(list(dict.fromkeys(paths)))
+    plain = lambda x: F.regexp_replace(x, "^file:/+", "/")
+    joined = wanted.join(found.select(plain(F.col("path")).alias("_p"), "path", "content"), plain(F.col("wanted")) == F.col("_p"), "left")
+    data = F.coalesce("content", F.raise_error(F.concat(F.lit("no such image: "), "wanted")).cast("binary"))
+    return joined.select("ordinal", F.element_at(F.split("wanted", "/"), -1).alias("name"), "path", data.alias("data"), F.sha2(data, 256).alias("sha256"))
+
+
+def given_images(spark: SparkSession, images_: list[bytes]) -> DataFrame:
+    """(ordinal, name, path, data, sha256) of images that the caller holds."""
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(images_)], "ordinal long, data binary")
+    return rows.select("ordinal", padded("image_", F.col("ordinal"), 6).alias("name"), F.lit(None).cast("string").alias("path"), "data", F.sha2("data", 256).alias("sha256"))
+
+
+def resolved(spark: SparkSession, source: str | bytes | list[str] | list[bytes]) -> DataFrame:
+    """One ordered batch of images from a folder, an image, a manifest, a list of images, or their bytes.  Frames of a video need a
+    decoder and are no source here."""
+    if isinstance(source, bytes):
+        return given_images(spark, [source])
+    if isinstance(source, list):
+        return given_images(spark, source) if source and isinstance(source[0], bytes) else listed_images(spark, source)
+    if source.endswith(".json"):
+        folder, named = source.rpartition("/")[0], manifest(spark, source)
+        return listed_images(spark, [f"{folder}/{r.name}" for r in named.orderBy("ordinal").collect()]).join(named.select("ordinal", "timestamp"), "ordinal")  # one manifest's files
+    return listed_images(spark, [source]) if source.lower().endswith(tuple(f".{x}" for x in IMAGES)) else images(spark, source)
+
+
+def class_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(name, class) of a class mapping; one that lacks a part stops the query."""
+    files = _whole(spark, path)
+    missing = F.array_except(F.array(*map(F.lit, MAPPING_PARTS)), F.json_object_keys("text"))
+    body = F.when(F.size(missing) == 0, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("missing parts: "), F.array_join(missing, ", "))))
+    entries = F.from_json(body, "name_to_class map<string, string>")["name_to_class"]
+    return files.select(F.explode(entries).alias("name", "class")).select("name", F.col("class").cast("long").alias("class"))
+
+
+def labelled_templates(spark: SparkSession, labels: str, folder: str) -> DataFrame:
+    """(name, label, data): the templates of a label file {name: label} with their images; one without an image has null data."""
+    entries = _whole(spark, labels).select(F.explode(F.from_json("text", "map<string, string>")).alias("name", "label"))
+    return entries.join(images(spark, folder).select("name", "data"), "name", "left")
+
+
+def bundle(spark: SparkSession, path: str, *, sha256: str | None = None, size: int | None = None, required: tuple[str, ...] = (), most_files: int = 4096, most_bytes: int = 512 << 20) -> DataFrame:
+    """(name, size, data) of the members of a ZIP bundle of a pinned hash and size, if given.
+
+    Nothing of a bundle is read before its list of members has passed the rules of ``batches.manifest_problems``; a bundle that
+    breaks one stops the query.  Bundles are small packages: one is read in one task."""
+
+    def members(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for raw in batch.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+                    found = [m for m in archive.infolist()]
+                    plain = [not m.is_dir() and not stat.S_ISLNK(m.external_attr >> 16) and m.orig_filename == m.filename for m in found]
+                    yield pa.RecordBatch.from_arrays([pa.array([m.filename for m in found], pa.string()), pa.array([m.file_size for m in found], pa.int64()), pa.array(plain, pa.bool_())], ["name", "size", "plain"])
+
+    def bodies(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            for raw in batch.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+                    for m in archive.infolist():
+                        with archive.open(m) as f:
+                            data = f.read(m.file_size + 1)
+                        if len(data) != m.file_size:
+                            raise ValueError(f"{m.filename} is larger than it says")
+                        yield pa.RecordBatch.from_arrays([pa.array([m.filename], pa.string()), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], ["name", "size", "data"])
+
+    file = spark.read.format("binaryFile").load(path).select("content")
+    digest = file.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("size")).first()
+    if (sha256 and digest.sha256 != sha256) or (size is not None and digest.size != size):
+        raise ValueError("the bundle is not the pinned one")
+    listed = file.mapInArrow(members, "name string, size long, plain boolean")
+    problems = [*(f"no plain file: {r.name}" for r in listed.where("not plain").limit(5).collect()), *(f"{r.rule} {r.detail}".strip() for r in manifest_problems(listed, required, most_files, most_bytes).limit(5).collect())]
+    if problems:
+        raise ValueError("; ".join(problems))
+    return file.mapInArrow(bodies, "name string, size long, data binary")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, name, timestamp) of a manifest {"images": [{"path", "timestamp"}]}; timestamps may be absent."""
     rows = _whole(spark, path).select(F.posexplode(F.from_json("text", "images array<struct<path: string, timestamp: double>>")["images"]).alias("ordinal", "i"))
@@ -138,4 +225,4 @@ def catalogue_url(base: str, dataset: str, region: str) -> str:
 def fetched_catalogue(spark: SparkSession, base: str, dataset: str, region: str) -> DataFrame:
     spark.dataSource.register(HttpCatalogue)
     raw = spark.read.format("attesta-http").option("urls", catalogue_url(base, dataset, region)).load()
-    return _entries(raw.select(F.sha2("text", 256).alias("sha256"), F.parse_json("text").alias("data")), dataset, region)
+    return _entries(raw.select("text"), dataset, region)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
+import zipfile
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions.text import escaped
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,3 +70,37 @@ def numbered_output(spark: SparkSession, parent: str, name: str, resume: bool =
 
 def write_extraction(path: str, *, segments: DataFrame, observations: DataFrame, results: DataFrame, review: DataFrame) -> None:
     write_all({f"{path.rstrip('/')}/{k}": v for k, v in (("segments", segments), ("observations", observations), ("results", results), ("review", review))})
+
+
+def pack(files: DataFrame, path: str) -> str:
+    """Packs files (name, data) into a ZIP bundle at a new path, with a manifest of their sizes and hashes; returns the bundle's
+    hash.  Members stand in order of their names and have no time, so equal files make equal bundles.  For the few files of a
+    package, which pass through the driver."""
+    spark = files.sparkSession
+    check_new(spark, [path])
+    held = sorted((r.name, bytes(r.data)) for r in files.select("name", "data").collect())
+    listed = {name: {"sha256": hashlib.sha256(data).hexdigest(), "size": len(data)} for name, data in held}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, data in [("manifest.json", json.dumps({"schema_version": 1, "files": listed}, sort_keys=True, indent=2).encode()), *held]:
+            archive.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        stream.write(bytearray(out.getvalue()))
+    finally:
+        stream.close()
+    return hashlib.sha256(out.getvalue()).hexdigest()
+
+
+def write_page(df: DataFrame, path: str, title: str, limit: int = 10_000) -> None:
+    """A table as one static HTML page in a new folder; at most ``limit`` rows, in the order of ``df``."""
+    spark = df.sparkSession
+    check_new(spark, [path])
+    cell = lambda tag, c: F.concat(F.lit(f"<{tag}>"), escaped(F.coalesce(c, F.lit(""))), F.lit(f"</{tag}>"))
+    plain = lambda c: F.to_json(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c).cast("string")
+    rows = df.limit(limit).select(F.concat(F.lit("<tr>"), *(cell("td", plain(c)) for c in df.columns), F.lit("</tr>")).alias("value"))
+    lines = [r.value for r in rows.collect()]  # at most ``limit``
+    shown = spark.range(1).select(F.concat(F.lit("<tr>"), *(cell("th", F.lit(c)) for c in df.columns), F.lit("</tr>")).alias("h"), escaped(F.lit(title)).alias("t")).first()
+    body = "\n".join([f"<!doctype html><html><head><meta charset=utf-8><title>{shown.t}</title></head><body><h1>{shown.t}</h1><table>", shown.h, *lines, "</table></body></html>"])
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(path)

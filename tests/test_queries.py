@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import attesta.plans.catalogue  # noqa: F401
+import attesta.plans.inventory  # noqa: F401
 from attesta.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"

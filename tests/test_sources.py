@@ -30,7 +30,7 @@ def test_wire_to_snapshot(spark):
     assert set(e) == {7, 10001}
 
 
-@pytest.mark.parametrize("bad", ["bad", "e30=\ntrash", b64([]), b64({"1": {"l": True}}), b64({"1": {"s": 101}}), b64({"1": {"l": 5.0}}), b64({"x": {"l": 5}})])
+@pytest.mark.parametrize("bad", ["%%%%", b64({"1": {"l": 1}}) + "\n=", b64([]), b64({"1": {"l": True}}), b64({"1": {"s": 101}}), b64({"1": {"l": 5.0}}), b64({"x": {"l": 5}})])
 def test_bad_wire(spark, bad):
     assert codec.problems(wire(spark, bad)).count() >= 1
 
