@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared folder, written tables, batches cut to a bounded size, and hashes.
+"""What the corpus operators share: importable workers, batches cut to a bounded size, words and hashes.
 
 Texts arrive as Arrow batches.  ``slices`` cuts them so that one slice holds about ``SLICE_BYTES`` of text (a longer
 text is a slice of its own), which bounds the memory of the vectorised kernels whatever the batch holds.
@@ -7,8 +7,6 @@ text is a slice of its own), which bounds the memory of the vectorised kernels w
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
@@ -26,37 +24,6 @@ _BASE = 0x9E3779B97F4A7C15
 _OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
 
-# ---- shared folder -------------------------------------------------------------------------------------------------
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset in local mode (tests), a temporary one that is set from now on.
-    On a cluster an unset folder is an error, for no machine's own folder is seen by the others."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="attesta-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: lineage is cut and any executor can read it."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def apart(column: str) -> Column:
     """The column under its name, as an expression that Spark doesn't know to be dealt out already.
 

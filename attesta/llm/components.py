@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import apart, written
+from attesta.llm.common import apart
+from attesta.scratch import written
 
 #: Edges that a task holds.
 HELD = 1 << 20

@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import U64, Slice, SpanHash, apart, documents, mix, partitions, slices, texts, windows, words, written
+from attesta.llm.common import U64, Slice, SpanHash, apart, documents, mix, partitions, slices, texts, windows, words
 from attesta.llm.components import components
+from attesta.scratch import written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import documents, partitions, written
+from attesta.llm.common import documents, partitions
+from attesta.scratch import written
 
 #: Bytes that a row weighs beyond its text.
 OVERHEAD = 16

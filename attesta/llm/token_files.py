@@ -33,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import U64, documents, mix, partitions, shared_path, texts, written
+from attesta.llm.common import U64, documents, mix, partitions, texts
 from attesta.llm.tokens import encoded, tokenizer_path
+from attesta.scratch import shared_path, written
 
 END_ID = 0
 MAGIC = b"ATTESTA1"

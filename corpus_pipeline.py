@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm import decontamination, near_duplicates, packing, personal, quality
-from attesta.llm.common import documents, importable, written
+from attesta.llm.common import documents, importable
+from attesta.scratch import written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

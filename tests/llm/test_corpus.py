@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from attesta.llm import decontamination, language, near_duplicates, packing, pages, personal, quality, sharding, suffix_dedup, token_files, tokens
 from attesta.llm.common import slices
 from attesta.llm.components import components
-from attesta.llm.queries import QUERIES
+from attesta.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -775,6 +775,19 @@ def test_near_duplicates_of_the_test_tables(spark):
     assert dict(QUERIES["op6_probminhash"](spark, DATA).collect()) == brute_classes(docs)
 
 
+@needs_data
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+        answer = c.execute(ORACLE_SQL[name])
+        columns, want = [x[0] for x in answer.description], answer.fetchall()
+    df = QUERIES[name](spark, DATA)
+    assert Counter(tuple(r) for r in df.select(*columns).collect()) == Counter(want)
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline as c
