@@ -719,6 +719,50 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(logs).sum(0) == pytest.approx(1, abs=1e-4)
 
 
+def brute_kneser_ney(texts, alphabet):
+    """p(symbol | context) of interpolated Kneser-Ney from dictionaries: raw counts at the highest order, below it the number of
+    different symbols that stand before a gram; one discount an order."""
+    lead = "\0\0\0"
+    counts = [Counter(x[i - 3 : i + 1] for x in (lead + t for t in texts) for i in range(3, len(x)))]
+    while len(counts) < 4:
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+    d = []
+    for c in counts:
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d.append(min(0.9, max(0.1, one / (one + 2 * two) if one + two else 0.5)))
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / alphabet
+        c, below = counts[k - 1], p(gram[1:])
+        total = sum(v for g, v in c.items() if g[:-1] == gram[:-1])
+        if not total:
+            return below
+        kinds = sum(g[:-1] == gram[:-1] for g in c)
+        return max(c[gram] - d[k - 1], 0) / total + d[k - 1] * kinds / total * below
+
+    return p
+
+
+def test_kneser_ney_equals_dictionaries(spark):
+    r = random.Random(8)
+    texts = {"x": ["".join(r.choice("aabc ") for _ in range(r.randint(1, 60))).strip() or "a" for _ in range(8)], "y": ["".join(r.choice("bcdd ") for _ in range(r.randint(1, 60))).strip() or "b" for _ in range(5)]}
+    rows = [(k, t, lang) for k, (t, lang) in enumerate((t, lang) for lang, ts in texts.items() for t in ts)]
+    df = spark.createDataFrame([(10 * k + 3, t, lang) for k, t, lang in rows], "doc_id long, text string, lang string")
+    ids = {x.doc_id: x.aside for x in language.learnable(df).withColumn("aside", language.aside()).collect()}
+    table = language.counted(df)
+    for without, model in ((False, table.model()), (True, table.model(without_aside=True))):
+        used = {lang: [" ".join(t.split()) for k, t, x in rows if x == lang and 10 * k + 3 in ids and not (without and ids[10 * k + 3])] for lang in texts}
+        alphabet = 1 + len({c for ts in used.values() for t in ts for c in t})
+        brute = {lang: brute_kneser_ney(ts, alphabet) for lang, ts in used.items()}
+        grams = sorted({x[i - 3 : i + 1] for ts in used.values() for x in ("\0\0\0" + t for t in ts) for i in range(3, len(x))})
+        grams += ["".join(r.choice("abcdq ") for _ in range(4)) for _ in range(150)]
+        logs = model.logs([np.array([ord(g[k]) for g in grams], np.uint32) for k in range(4)])
+        for k, lang in enumerate(model.langs):
+            assert np.exp(logs[:, k]) == pytest.approx([brute[lang](g) for g in grams], rel=1e-3)
+
+
 @needs_data
 def test_languages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
