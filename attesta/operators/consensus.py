@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.scratch import written
+
 COLUMNS = ["key", "observation", "entity_id", "name", "screenshots", "field", "value", "status", "images"]
 
 
@@ -68,8 +70,9 @@ def final_key(entity_id: Column, key: Column) -> Column:
 
 
 def merged_visits(visits: DataFrame) -> DataFrame:
-    """The results of ``consensus`` by visit, judged again by entity; an entity of one visit keeps that result unchanged."""
-    keyed = visits.withColumn("visit", F.col("key")).withColumn("key", final_key(F.col("entity_id"), F.col("key")))
+    """The results of ``consensus`` by visit, judged again by entity; an entity of one visit keeps that result unchanged.  The
+    visits are read three times, so they are written once."""
+    keyed = written(visits.withColumn("visit", F.col("key")).withColumn("key", final_key(F.col("entity_id"), F.col("key"))), "visits")
     counts = keyed.groupBy("key").agg(F.count_distinct("visit").alias("visits"))
     keyed = keyed.join(counts, "key")
     single = keyed.where("visits = 1").select("key", "entity_id", "name", "identity_status", "screenshots", F.lit(1).cast("long").alias("observations"), "field", "value", "status", "images")

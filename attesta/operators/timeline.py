@@ -60,10 +60,12 @@ def stable(moved: DataFrame, limits: DataFrame, spans: DataFrame, by: list[str]
     ahead = moved.withColumn("next_motion", F.lead("motion").over(_over(by, "idx")))
     joined = ahead.join(limits, by) if by else ahead.crossJoin(limits)
     still = joined.where((F.col("motion") < share * F.col("threshold")) & (F.col("next_motion") < share * F.col("threshold"))).select(*by, "idx")
-    inside = (F.col("s.idx") > F.col("i.left")) & (F.col("s.idx") < F.col("i.right") - 1)
-    for c in by:
-        inside = inside & (F.col(f"s.{c}") == F.col(f"i.{c}"))
-    return still.alias("s").join(spans.alias("i"), inside).select(*(F.col(f"i.{c}") for c in by), "left", "right", "idx")
+    # intervals follow one another, so a sample's is the last that starts at or before it: one sort of both sides together
+    starts = spans.select(*by, F.col("left").cast("long").alias("idx"), F.struct("left", "right").alias("_i"), F.lit(0).alias("_tag"))
+    both = starts.unionByName(still.select(*by, F.col("idx").cast("long").alias("idx"), F.lit(1).alias("_tag")), allowMissingColumns=True)
+    own = F.last("_i", ignorenulls=True).over(_over(by, "idx", "_tag").rowsBetween(Window.unboundedPreceding, 0))
+    held = both.withColumn("_i", own).where("_tag = 1").select(*by, "_i.left", "_i.right", "idx")
+    return held.where((F.col("idx") > F.col("left")) & (F.col("idx") < F.col("right") - 1))
 
 
 def samples(inside: DataFrame, by: list[str] | None = None, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:

@@ -78,7 +78,7 @@ q AS (SELECT query, coalesce(min(n) FILTER (WHERE label = CAST(value AS VARCHAR)
 )
 def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks, _ = s.vectors(spark, sf_dir)
-    best = ranking.best_per_label(_scores(spark, sf_dir))
+    best = ranking.best_per_label(_scores(spark, sf_dir, by_label=True))
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "label")))
     ranked = best.groupBy("query").agg(F.transform(order, lambda x: x["label"]).alias("ranked")).join(asks.select("query", F.col("value").cast("string").alias("label")), "query")
     return evaluation.top_k_accuracy(ranked).select(*(F.round(c, 6).alias(c) for c in ("top1", "top3", "top5")))
@@ -132,10 +132,10 @@ def wire_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.from_wire(_wire(spark, sf_dir)).entities.select("entity_id", F.explode("extensions"))
 
 
-@query(f"WITH {_WIRE} SELECT text FROM w WHERE source = 7")
+@query(f"WITH {_WIRE} SELECT CAST(source AS VARCHAR) AS source, text FROM w")
 def wire_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = codec.records(_wire(spark, sf_dir).where("source = '7'"))
-    return codec.to_wire(rows.select(F.col("entity").cast("long").alias("entity_id"), "wire_key", "text"))
+    rows = codec.records(_wire(spark, sf_dir))
+    return codec.to_wire(rows.select("source", F.col("entity").cast("long").alias("entity_id"), "wire_key", "text"), ["source"])
 
 
 @query("SELECT c_nationkey % 3 AS kind, count(DISTINCT c_nationkey) AS n FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1")
@@ -147,11 +147,16 @@ def wire_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy((F.col("source").cast("long") % 3).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(ts AS DOUBLE) AS t, CAST(CASE WHEN b IS NULL OR a - ts IS NOT NULL AND a - ts < ts - b THEN a ELSE b END AS DOUBLE) AS mark FROM (SELECT t.ts, (SELECT max(m) FROM (SELECT unnest(range(0, 400)) * 7.0 AS m) WHERE m <= t.ts) AS b, (SELECT min(m) FROM (SELECT unnest(range(0, 400)) * 7.0 AS m) WHERE m >= t.ts) AS a FROM (SELECT DISTINCT o_orderkey % 2500 + 0.0 AS ts FROM orders) t)")
+@query(
+    """WITH m AS (SELECT user_id, CAST(event_id AS DOUBLE) AS mark FROM events WHERE event_type = 'purchase'), p AS (SELECT user_id, CAST(event_id AS DOUBLE) AS t FROM events WHERE event_type <> 'purchase'),
+b AS (SELECT p.*, m.mark AS b FROM p ASOF LEFT JOIN m ON p.user_id = m.user_id AND p.t >= m.mark), a AS (SELECT b.*, m.mark AS a FROM b ASOF LEFT JOIN m ON b.user_id = m.user_id AND b.t <= m.mark)
+SELECT user_id, t, CASE WHEN b IS NULL OR a - t < t - b THEN a ELSE b END AS mark FROM a"""
+)
 def nearest_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = s.table(spark, sf_dir, "orders").select(F.lit(0).alias("g"), (F.col("o_orderkey") % 2500).cast("double").alias("t")).distinct()
-    marks = spark.range(400).select(F.lit(0).alias("g"), (F.col("id") * 7.0).alias("mark"))
-    return timeline.nearest(points, marks, ["g"]).select("t", "mark")
+    """For each other event of a user the purchase that is nearest by id."""
+    e = s.table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").cast("double").alias("t"))
+    marks = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("mark"))
+    return timeline.nearest(e.where("event_type <> 'purchase'").select("user_id", "t"), marks, ["user_id"]).select("user_id", "t", "mark")
 
 
 @query("SELECT l_returnflag, round(CAST(sum(CAST(round(l_discount * 100) AS BIGINT) * CAST(l_quantity AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE), 6) AS mean FROM lineitem GROUP BY l_returnflag")

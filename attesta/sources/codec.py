@@ -61,14 +61,17 @@ def from_wire(collections: DataFrame, names: DataFrame | None = None) -> Snapsho
     return Snapshot(entities.select("key", "entity_id", name.alias("name"), F.lit("imported").alias("identity_status"), "extensions", source.alias("sources")), readings)
 
 
-def to_wire(records_: DataFrame) -> DataFrame:
-    """One row (text): the base64 of the JSON object of (entity_id, wire_key, text), entities and keys in order, without the line
-    breaks that base64 has by default.  The collection of one account, a few hundred records."""
-    record = records_.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("wire_key", "text"))).alias("e"))
-    body = F.concat(F.lit('"'), F.col("entity_id").cast("string"), F.lit('":{'), F.array_join(F.transform("e", lambda x: F.concat(F.to_json(F.array(x["wire_key"])).substr(F.lit(2), F.length(F.to_json(F.array(x["wire_key"]))) - 2), F.lit(":"), x["text"])), ","), F.lit("}"))
-    whole = record.agg(F.array_sort(F.collect_list(F.struct("entity_id", body.alias("b")))).alias("all"))
+def to_wire(records_: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, text): for each account the base64 of the JSON object of its (entity_id, wire_key, text), entities and keys in order,
+    without the line breaks that base64 has by default.  An account has a few hundred records."""
+    by = by or []
+    record = records_.groupBy(*by, "entity_id").agg(F.array_sort(F.collect_list(F.struct("wire_key", "text"))).alias("e"))
+    name = lambda x: F.to_json(F.array(x["wire_key"]))
+    entry = lambda x: F.concat(name(x).substr(F.lit(2), F.length(name(x)) - 2), F.lit(":"), x["text"])
+    body = F.concat(F.lit('"'), F.col("entity_id").cast("string"), F.lit('":{'), F.array_join(F.transform("e", entry), ","), F.lit("}"))
+    whole = record.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("entity_id", body.alias("b")))).alias("all"))
     json = F.concat(F.lit("{"), F.array_join(F.transform("all", lambda x: x["b"]), ","), F.lit("}"))
-    return whole.select(F.regexp_replace(F.base64(F.encode(json, "UTF-8")), r"\s", "").alias("text"))
+    return whole.select(*by, F.regexp_replace(F.base64(F.encode(json, "UTF-8")), r"\s", "").alias("text"))
 
 
 def export(snapshot: Snapshot, baseline: DataFrame | None = None, *, allow_observed: bool = False) -> tuple[DataFrame, DataFrame]:
