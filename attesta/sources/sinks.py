@@ -8,6 +8,7 @@ import json
 import zipfile
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,44 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file on any of Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_file(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> bool:
+    """Writes a small file; False, and nothing written, if it exists and must not be replaced."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, overwrite)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def modified(spark: SparkSession, path: str) -> float | None:
+    """Epoch seconds of a file's last change; None if it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(place).getModificationTime() / 1000 if system.exists(place) else None
+
+
 def check_new(spark: SparkSession, paths: list[str]) -> None:
     """Stops unless all paths are distinct and none exists."""
     if len(set(paths)) != len(paths):
@@ -84,12 +123,8 @@ def pack(files: DataFrame, path: str) -> str:
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
         for name, data in [("manifest.json", json.dumps({"schema_version": 1, "files": listed}, sort_keys=True, indent=2).encode()), *held]:
             archive.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
-    try:
-        stream.write(bytearray(out.getvalue()))
-    finally:
-        stream.close()
+    if not create_file(spark, path, out.getvalue()):
+        raise FileExistsError(path)
     return hashlib.sha256(out.getvalue()).hexdigest()
 
 

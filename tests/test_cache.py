@@ -1,5 +1,10 @@
 """The cache's state machine with a fake clock and transport."""
 
+import os
+import shutil
+import time
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from attesta.sources.cached import Answer, Cache, CacheMiss
@@ -59,3 +64,63 @@ def test_update_takes_what_is_due(spark, tmp_path):
     c.get("https://h.example/a.json", Fake(Answer(200, b"{}")), 0)
     c.get("https://h.example/b.json", Fake(Answer(200, b"{}")), 6 * day)
     assert c.update(Fake(Answer(200, b'{"n":1}')), 8 * day) == {"downloaded": 1}
+    waits = []
+    assert c.update(Fake(Answer(304), Answer(200, b"{}")), 8 * day + 1, refresh=True, sleep=waits.append) == {"stale-error": 1, "unchanged": 1}
+    assert waits == [0.5]  # two requests at one time
+
+
+def test_hosts_are_compared_whole(spark, tmp_path):
+    c = Cache(spark, str(tmp_path / "c"))
+    with pytest.raises(CacheMiss):
+        c.get("https://a.co/x.json", Fake(Answer(429, retry_after=900.0)), 0)
+    assert c.get("https://a.company/x.json", Fake(Answer(200, b"{}")), 10).status == "downloaded"
+    with pytest.raises(CacheMiss):
+        c.get("https://a.co:8443/y.json", Fake(), 20)
+
+
+def test_requests_keep_their_distance(spark, tmp_path):
+    c = Cache(spark, str(tmp_path / "c"))
+    waits = []
+    for i, now in enumerate((10.0, 10.25, 60.0)):
+        c.get(f"https://h.example/{i}.json", Fake(Answer(200, b"{}")), now, sleep=waits.append)
+    assert waits == [0.25]
+    assert sorted(r.at for r in c.events().collect()) == [10.0, 10.5, 60.0]
+
+
+def test_callers_take_turns(spark, tmp_path):
+    """Many callers at once: one download, unique ids, and the lock of one that died is taken over."""
+    c = Cache(spark, str(tmp_path / "c"))
+    calls = []
+
+    def slow(url, etag, modified):
+        calls.append(url)
+        time.sleep(0.2)
+        return Answer(200, b'{"a":1}')
+
+    start = time.time()
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda _: c.get(URL, slow, start, clock=time.time).body, range(4)))
+    assert found == [b'{"a":1}'] * 4 and calls == [URL]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: c.get(f"https://h.example/{i}.json", Fake(Answer(200, b"{}")), time.time(), sleep=lambda _: None), range(3)))
+    ids = [r.id for r in c.events().collect()]
+    assert sorted(ids) == [0, 1, 2, 3]
+    lock = tmp_path / "c" / "lock"
+    lock.write_text("")
+    os.utime(lock, (0, 0))
+    assert c.get(URL, Fake(), start, mode="offline").status == "offline-hit" and not lock.exists()
+
+
+def test_policy_and_verification(spark, tmp_path):
+    c = Cache(spark, str(tmp_path / "c"))
+    assert c.configure(mode="manual", json_ttl=120.0).json_ttl == 120
+    with pytest.raises(ValueError):
+        c.configure(json_ttl=-1.0)
+    assert Cache(spark, str(tmp_path / "c")).policy().mode == "manual"
+    assert c.get(URL, Fake(Answer(200, b"{}")), 0).status == "downloaded"
+    assert c.get(URL, Fake(), 10**9).status == "hit"
+    c.configure(mode="auto")
+    assert c.get(URL, Fake(Answer(200, b'{"b":1}')), 121).status == "downloaded"
+    assert c.verify() == {"ok": True, "bodies": 1, "missing": 0, "damaged": 0}
+    shutil.rmtree(tmp_path / "c" / "bodies")
+    assert c.verify() == {"ok": False, "bodies": 1, "missing": 1, "damaged": 0}
