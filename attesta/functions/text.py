@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,6 +151,16 @@ def language(locale: Column) -> Column:
     return out
 
 
+def language_of(environment: Mapping[str, str]) -> str:
+    """The language of a process: of the first of its locale variables that names a known one, else English."""
+    for name in ("LC_ALL", "LANG", "LC_CTYPE"):
+        locale = environment.get(name, "").partition(".")[0].lower()
+        for start, lang in LOCALES.items():
+            if locale.startswith(start):
+                return lang
+    return "en"
+
+
 def is_blueprint(icon: Column) -> Column:
     return icon.endswith(BLUEPRINT)
 

@@ -144,6 +144,16 @@ def two_readers(primary: DataFrame, alternate: DataFrame) -> DataFrame:
     )
 
 
+def chosen_reader(primary: DataFrame, alternate: DataFrame, choice: str = "auto") -> DataFrame:
+    """Readings of one reader, or of both: ``primary`` or ``alternate`` alone, or ``auto`` for their agreement."""
+    if choice == "auto":
+        return two_readers(primary, alternate)
+    if choice not in ("primary", "alternate"):
+        raise ValueError(f"unknown reader: {choice}")
+    status = F.when(F.col("value").isNull(), "unknown").otherwise("observed")
+    return (primary if choice == "primary" else alternate).select("key", "field", "value", status.alias("status"), F.lit(choice).alias("reader"))
+
+
 def agreed_view(views: DataFrame, by: list[str], least_score: float = 0.65) -> DataFrame:
     """Positional agreement of several views, (*by, parsed, score): all valid ones must give the same, the best score wins."""
     valid = F.col("parsed").isNotNull() & (F.col("score") >= least_score)

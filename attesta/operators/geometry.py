@@ -129,3 +129,29 @@ def colour_shares(frames: DataFrame, low: tuple[int, int, int], high: tuple[int,
             yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(out, pa.float64())], ["idx", "share"])
 
     return frames.select(F.col("idx").cast("long").alias("idx"), "width", "height", "pixels").mapInArrow(run, "idx long, share double")
+
+
+#: Changes that a reader must bear: brightness, a shift to the right and down, and a detour over another size.
+PERTURBATIONS = {"clean": (1.0, 0, 0, 1.0), "dark": (0.75, 0, 0, 1.0), "bright": (1.25, 0, 0, 1.0), "shift": (1.0, 2, 1, 1.0), "half": (1.0, 0, 0, 0.5)}
+
+
+def perturbed(frames: DataFrame, conditions: dict[str, tuple[float, int, int, float]] = PERTURBATIONS) -> DataFrame:
+    """(idx, condition, width, height, pixels): grey frames (idx, width, height, pixels as bytes) under each condition.  Shifts
+    repeat the edge; a detour takes the nearest pixels both ways."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for idx, w, h, data in zip(*(batch.column(c).to_pylist() for c in ("idx", "width", "height", "pixels")), strict=True):
+                image, out = np.frombuffer(data, np.uint8).reshape(h, w), []
+                for light, right, down, size in conditions.values():
+                    rows, columns = np.arange(h), np.arange(w)
+                    if size != 1:
+                        rows, columns = ((np.minimum((np.floor(np.floor(x * size) / size)).astype(int), n - 1)) for x, n in ((rows, h), (columns, w)))
+                    moved = image[np.clip(rows - down, 0, h - 1)][:, np.clip(columns - right, 0, w - 1)]
+                    out.append(np.clip(np.rint(moved * light), 0, 255).astype(np.uint8).tobytes())
+                n = len(out)
+                yield pa.RecordBatch.from_arrays([pa.array([idx] * n, pa.int64()), pa.array(list(conditions)), pa.array([w] * n, pa.int32()), pa.array([h] * n, pa.int32()), pa.array(out, pa.binary())], ["idx", "condition", "width", "height", "pixels"])
+
+    return frames.select(F.col("idx").cast("long").alias("idx"), "width", "height", "pixels").mapInArrow(run, "idx long, condition string, width int, height int, pixels binary")

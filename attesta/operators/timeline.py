@@ -127,6 +127,14 @@ def last_by_order(rows: DataFrame, by: list[str], order: str, value: str) -> Dat
     return rows.groupBy(*by).agg(F.max_by(value, order).alias(value))
 
 
+def bootstrapped(rows: DataFrame, by: list[str], order: str, accepted: Column) -> DataFrame:
+    """``rows`` with the reference that each is matched against and how: the first accepted row of a series builds it, those before
+    it have none, and all later ones use it."""
+    first = F.min(F.when(accepted, F.col(order))).over(_over(by, order).rowsBetween(Window.unboundedPreceding, 0))
+    method = F.when(first.isNull(), "unmatched").when(first == F.col(order), "built").otherwise("reference")
+    return rows.withColumns({"reference": first, "method": method})
+
+
 def early_stop(history: DataFrame, by: list[str], patience: int, metric: str = "metric", step: str = "epoch") -> DataFrame:
     """Each step with the best metric before it, whether it improves strictly, how many steps in a row did not, and whether to stop."""
     w = _over(by, step)

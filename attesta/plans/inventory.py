@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.domain import CATEGORIES
 from attesta.functions import collections, numbers, text
-from attesta.operators import batches, cachelog, consensus, geometry, quality, ranking, rewards, snapshots
+from attesta.operators import batches, cachelog, consensus, geometry, ranking, rewards, timeline
 from attesta.plans import standins as s
 from attesta.plans.catalogue import _wire
 from attesta.plans.queries import _CACHE, _ENTITIES, _EV, _OBS, _SNAPS, QUERIES, _entities, query
@@ -422,6 +422,40 @@ def blue_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.colour_shares(frames, (95, 50, 50), (135, 255, 255)).select("idx", F.round("share", 6).alias("blue"))
 
 
+@query(
+    """WITH p AS (SELECT event_id % 50 AS idx, list(event_id % 256 ORDER BY event_id) AS v FROM events GROUP BY 1),
+c AS (SELECT idx, 'clean' AS condition, v FROM p UNION ALL SELECT idx, 'dark', list_transform(v, lambda x: CAST(round_even(x * 0.75, 0) AS BIGINT)) FROM p
+ UNION ALL SELECT idx, 'bright', list_transform(v, lambda x: CAST(least(255, round_even(x * 1.25, 0)) AS BIGINT)) FROM p
+ UNION ALL SELECT idx, 'shift', list_transform(range(len(v)), lambda i: v[greatest(i - 2, 0) + 1]) FROM p UNION ALL SELECT idx, 'half', list_transform(range(len(v)), lambda i: v[i // 2 * 2 + 1]) FROM p)
+SELECT idx, condition, md5(array_to_string(list_transform(v, lambda x: printf('%02X', x)), '')) AS digest FROM c"""
+)
+def perturbed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of one line of pixels under each condition."""
+    e = s.table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("idx"), "event_id")
+    lines = e.groupBy("idx").agg(F.array_sort(F.collect_list("event_id")).alias("v"))
+    data = F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x % 256), 2, "0")), ""))
+    out = geometry.perturbed(lines.select("idx", F.size("v").alias("width"), F.lit(1).alias("height"), data.alias("pixels")))
+    return out.select("idx", "condition", F.md5(F.hex("pixels")).alias("digest"))
+
+
+@query("SELECT event_id, ref AS reference, CASE WHEN ref IS NULL THEN 'unmatched' WHEN ref = event_id THEN 'built' ELSE 'reference' END AS method FROM (SELECT event_id, min(CASE WHEN value > 20 THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ref FROM events)")
+def bootstrap_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = s.table(spark, sf_dir, "events")
+    return timeline.bootstrapped(e, ["user_id"], "event_id", F.col("value") > 20).select("event_id", "reference", "method")
+
+
+@query(
+    f"""WITH {_OBS}, first_ AS (SELECT key, field, value FROM (SELECT *, row_number() OVER (PARTITION BY key, field ORDER BY observation) AS r FROM obs) WHERE r = 1),
+last_ AS (SELECT key, field, value FROM (SELECT *, row_number() OVER (PARTITION BY key, field ORDER BY observation DESC) AS r FROM obs) WHERE r = 1)
+SELECT key, field, value, CASE WHEN value IS NULL THEN 'unknown' ELSE 'observed' END AS status, 'primary' AS reader FROM first_ UNION ALL SELECT key, field, value, CASE WHEN value IS NULL THEN 'unknown' ELSE 'observed' END, 'alternate' FROM last_"""
+)
+def reader_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = s.observations(spark, sf_dir)
+    pick = lambda f: o.groupBy("key", "field").agg(f(F.struct("value"), "observation").alias("v")).select("key", "field", "v.value")
+    first, last = pick(F.min_by), pick(F.max_by)
+    return consensus.chosen_reader(first, last, "primary").union(consensus.chosen_reader(first, last, "alternate"))
+
+
 # ---- batches, candidates, cache --------------------------------------------------------------------------------------
 
 

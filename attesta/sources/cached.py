@@ -44,6 +44,23 @@ class Result(NamedTuple):
     body: bytes
 
 
+class Held:
+    """A table that is made from a cache and kept in Spark's memory until the cache has new events."""
+
+    def __init__(self, cache: Cache, make: Callable[[], DataFrame]) -> None:
+        self.cache, self.make = cache, make
+        self.generation: int | None = None
+        self.table: DataFrame | None = None
+
+    def get(self) -> DataFrame:
+        now = self.cache.generation()
+        if self.table is None or now != self.generation:
+            if self.table is not None:
+                self.table.unpersist()
+            self.table, self.generation = self.make().cache(), now
+        return self.table
+
+
 class CacheMiss(RuntimeError):
     """There is no body and none can be had."""
 
@@ -86,6 +103,11 @@ class Cache:
     def events(self) -> DataFrame:
         return self._read("events", EVENTS)
 
+    def generation(self) -> int:
+        """A number that grows with every event; -1 before the first."""
+        last = self.events().agg(F.max("id")).first()[0]
+        return -1 if last is None else last
+
     def policy(self) -> Policy:
         path = f"{self.folder}/policy.json"
         return Policy(**json.loads(sinks.read_text(self.spark, path))) if sinks._exists(self.spark, path) else Policy()
@@ -115,7 +137,8 @@ class Cache:
         try:
             yield
         finally:
-            sinks.remove(self.spark, path)
+            if sinks._exists(self.spark, path) and sinks.read_text(self.spark, path).encode() == token:  # else it was taken over
+                sinks.remove(self.spark, path)
 
     def verify(self) -> dict[str, object]:
         """Whether every body that an entry names is there and is what its hash says."""
@@ -125,8 +148,7 @@ class Cache:
         return {"ok": not missing and not damaged, "bodies": named.count(), "missing": missing, "damaged": damaged}
 
     def _append(self, url: str, kind: str, at: float, status: str, *, sha: str | None = None, body: bytes | None = None, error: str | None = None, answer: Answer | None = None) -> None:
-        last = self.events().agg(F.max("id")).first()[0]
-        row = ((-1 if last is None else last) + 1, url, kind, float(at), status, sha, None if body is None else len(body), error, answer.status if answer else None, answer.retry_after if answer else None, answer.etag if answer else None, answer.modified if answer else None)
+        row = (self.generation() + 1, url, kind, float(at), status, sha, None if body is None else len(body), error, answer.status if answer else None, answer.retry_after if answer else None, answer.etag if answer else None, answer.modified if answer else None)
         if body is not None and sha is not None and not self._body(sha):
             self.spark.createDataFrame([(sha, bytearray(body))], BODIES).coalesce(1).write.mode("append").parquet(f"{self.folder}/bodies")
         sinks.append_events(self.spark.createDataFrame([row], EVENTS).coalesce(1), f"{self.folder}/events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import os
 import zipfile
 from pathlib import PurePosixPath
 
@@ -31,10 +32,21 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def create_file(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> bool:
-    """Writes a small file; False, and nothing written, if it exists and must not be replaced."""
+    """Writes a small file; False, and nothing written, if it exists and must not be replaced.  Only one of several callers creates
+    it: a distributed file system sees to that, on a local one the operating system does."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file" and not overwrite:
+        own = place.toUri().getPath()
+        os.makedirs(os.path.dirname(own), exist_ok=True)
+        try:
+            with open(own, "xb") as f:
+                f.write(data)
+        except FileExistsError:
+            return False
+        return True
     try:
-        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, overwrite)
+        stream = system.create(place, overwrite)
     except Py4JJavaError as e:
         if "AlreadyExists" in e.java_exception.getClass().getName():
             return False

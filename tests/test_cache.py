@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from attesta.sources.cached import Answer, Cache, CacheMiss
+from attesta.sources.cached import Answer, Cache, CacheMiss, Held
 
 URL = "https://h.example/data.json"
 
@@ -111,6 +111,20 @@ def test_callers_take_turns(spark, tmp_path):
     assert c.get(URL, Fake(), start, mode="offline").status == "offline-hit" and not lock.exists()
 
 
+def test_tables_are_kept_until_something_happens(spark, tmp_path):
+    c = Cache(spark, str(tmp_path / "c"))
+    made = []
+
+    def make():
+        made.append(1)
+        return c.events().groupBy("status").count()
+
+    held = Held(c, make)
+    assert held.get().count() == held.get().count() == 0 and len(made) == 1
+    c.get(URL, Fake(Answer(200, b"{}")), 0)
+    assert held.get().count() == 1 and len(made) == 2 and c.generation() == 0
+
+
 def test_policy_and_verification(spark, tmp_path):
     c = Cache(spark, str(tmp_path / "c"))
     assert c.configure(mode="manual", json_ttl=120.0).json_ttl == 120

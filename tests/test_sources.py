@@ -118,3 +118,35 @@ def test_stream_gives_what_replay_gives(spark, tmp_path):
     q.stop()
     last = {r.url: (r.sha256, r.failures, r.retry_at) for r in spark.table("attesta_entries").orderBy("last_id").collect()}
     assert last == {r.url: (r.sha256, r.failures, r.retry_at) for r in cachelog.entries(log).collect()}
+
+
+def test_images_from_anywhere(spark, tmp_path):
+    """A folder, a list, a manifest, one file, or bytes: the same ordered batch."""
+    names = ["image2.png", "image10.png", "image1.png"]
+    for n in names:
+        (tmp_path / n).write_bytes(n.encode())
+    (tmp_path / "note.txt").write_text("no image")
+    got = lambda source: [(r.ordinal, r.name, bytes(r.data)) for r in readers.resolved(spark, source).orderBy("ordinal").collect()]
+    natural = ["image1.png", "image2.png", "image10.png"]
+    assert got(str(tmp_path)) == [(i, n, n.encode()) for i, n in enumerate(natural)]
+    assert got([str(tmp_path / n) for n in [*names, names[0]]]) == [(i, n, n.encode()) for i, n in enumerate([*names, names[0]])]
+    assert got([b"x", b"y"]) == [(0, "image_000000", b"x"), (1, "image_000001", b"y")] and got(b"x") == [(0, "image_000000", b"x")]
+    assert got(str(tmp_path / names[1])) == [(0, names[1], names[1].encode())]
+    (tmp_path / "m.json").write_text(json.dumps({"images": [{"path": n, "timestamp": i * 0.5} for i, n in enumerate(names)]}))
+    assert got(str(tmp_path / "m.json")) == [(i, n, n.encode()) for i, n in enumerate(names)]
+    with pytest.raises(Exception, match="no such image|PATH_NOT_FOUND"):
+        got([str(tmp_path / names[0]), str(tmp_path / "gone.png")])
+
+
+def test_class_mappings_and_templates(spark, tmp_path):
+    whole = {"class_to_name": {"0": "a", "1": "b"}, "name_to_class": {"a": 0, "b": 1}, "num_classes": 2, "categories": ["x"]}
+    (tmp_path / "c.json").write_text(json.dumps(whole))
+    assert sorted(map(tuple, readers.class_mapping(spark, str(tmp_path / "c.json")).collect())) == [("a", 0), ("b", 1)]
+    (tmp_path / "d.json").write_text(json.dumps({k: v for k, v in whole.items() if k != "categories"}))
+    with pytest.raises(Exception, match="missing parts: categories"):
+        readers.class_mapping(spark, str(tmp_path / "d.json")).collect()
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.png").write_bytes(b"A")
+    (tmp_path / "l.json").write_text(json.dumps({"a.png": "3", "b.png": "7"}))
+    found = readers.labelled_templates(spark, str(tmp_path / "l.json"), str(tmp_path / "t")).collect()
+    assert sorted((r.name, r.label, r.data and bytes(r.data)) for r in found) == [("a.png", "3", b"A"), ("b.png", "7", None)]

@@ -118,3 +118,10 @@ def test_numbers(spark):
     assert one(spark, numbers.normalized_correlation(v(1.0, 2.0, 3.0), v(2.0, 4.0, 6.0))) == pytest.approx(1)
     assert one(spark, numbers.iso_utc(F.lit(0.0))) is None
     assert one(spark, numbers.iso_utc(F.lit(86400.0))) == "1970-01-02T00:00:00+00:00"
+
+
+def test_language_of_a_process():
+    assert text.language_of({"LANG": "ja_JP.UTF-8"}) == "jp"
+    assert text.language_of({"LC_ALL": "C", "LANG": "zh_CN"}) == "cn"
+    assert text.language_of({"LC_ALL": "Korean_Korea.949", "LANG": "ja_JP"}) == "kr"
+    assert text.language_of({"LANG": "de_DE.UTF-8"}) == text.language_of({}) == "en"
