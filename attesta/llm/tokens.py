@@ -26,7 +26,7 @@ from attesta.llm.common import Slice, SpanHash, mix, slices
 #: Bytes of text encoded at once: fewer, larger slices find more pieces equal before they are looked up.
 ENCODED_BYTES = 1 << 20
 #: Pieces that a worker keeps (about 35 bytes each), and ids of them; beyond that it starts anew.
-KEPT_PIECES, KEPT_IDS = 2_000_000, 1 << 24
+KEPT_PIECES, KEPT_IDS = 1_000_000, 1 << 23
 #: Bytes of a piece that is kept: constructed strings whose hashes agree are longer.
 LONGEST = 256
 #: Characters from here on take the library's own way, for classes of later Unicode versions may differ.
