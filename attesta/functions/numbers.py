@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,10 +42,18 @@ def clamp(x: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(x, F.lit(high)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, not once for each entry that a lambda inside of ``use`` sees."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    powers = once(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return once(powers, lambda p: once(total(p), lambda whole: F.transform(p, lambda x: x / whole)))
 
 
 def argmax(x: Column) -> Column:
@@ -62,7 +71,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized_correlation(a: Column, b: Column) -> Column:
     """Cosine of what deviates from the means."""
-    centred = lambda x: F.transform(x, lambda v: v - F.aggregate(x, F.lit(0.0), lambda s, y: s + y) / F.size(x))
+    centred = lambda x: once(total(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean))
     return cosine(centred(a), centred(b))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta import localisation
 from attesta.domain import CATEGORIES
 from attesta.functions import collections, numbers, text
 from attesta.operators import batches, cachelog, consensus, geometry, ranking, rewards, timeline
@@ -199,6 +200,31 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
+@query(
+    """WITH t AS (SELECT * FROM (VALUES (0, 'Campaign', '캠페인', '任務', '任務'), (1, 'Bounty', '현상수배', '指名手配', '懸賞通緝'), (2, 'Commissions', '특별의뢰', '特別依頼', '特別委托'), (3, 'Scrimmage', '학원교류회', '学園交流会', '學園交流會')) AS t(c, en, kr, jp, cn))
+SELECT o_orderkey, [en, kr, jp, cn][o_orderkey // 4 % 4 + 1] AS label FROM orders JOIN t ON c = o_orderkey % 4"""
+)
+def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories in the language that each order asks for."""
+    key = F.col("o_orderkey")
+    one = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    rows = s.table(spark, sf_dir, "orders").select("o_orderkey", one(CATEGORIES, key % 4).alias("key"), one(localisation.LANGUAGES, F.floor(key / 4) % 4).alias("lang"))
+    table = localisation.names(spark).where("domain = 'category'")
+    return rows.join(F.broadcast(table), ["key", "lang"], "left").select("o_orderkey", localisation.known(F.col("text"), F.col("key")).alias("label"))  # 16 rows
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '[' || CASE WHEN p_size % 4 > 0 THEN 'Tier ' || CAST(p_size % 4 AS VARCHAR) || ' ' ELSE '' END || 'Hat] ' || p_name WHEN 1 THEN '[Gift] ' || p_name || ' x' ELSE CASE p_size % 2 WHEN 0 THEN 'AP' ELSE 'Bounty Ticket' END END || CASE WHEN p_partkey % 3 = 2 THEN '' ELSE ' (#' || CAST(p_partkey AS VARCHAR) || ')' END AS label FROM part")
+def reward_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of equipment, items (whose names have line breaks) and costs."""
+    p = s.table(spark, sf_dir, "part")
+    kind = F.col("p_partkey") % 3
+    rows = p.select("*", F.when(kind == 0, "equipment").when(kind == 1, "item").otherwise("cost").alias("domain"), F.when(kind == 0, "Hat").when(kind == 1, "Favor").otherwise(F.when(F.col("p_size") % 2 == 0, "5").otherwise("22")).alias("key"))
+    rows = rows.join(F.broadcast(localisation.names(spark).where("lang = 'en'")), ["domain", "key"])  # 38 rows
+    text_, name, key = F.col("text"), F.col("p_name"), F.col("p_partkey")
+    item = localisation.item_label(text_, F.concat(name, F.lit("\n"), F.lit("x\n")), key)
+    return rows.select("p_partkey", F.when(kind == 0, localisation.equipment_label(F.col("p_size") % 4, text_, name, key)).when(kind == 1, item).otherwise(text_).alias("label"))
+
+
 @query(
     f"WITH {_ENTITIES} SELECT key, entity_id, identity_status, field, value, status FROM ent WHERE field IS NOT NULL"
 )
