@@ -110,13 +110,7 @@ def colour_shares(frames: DataFrame, low: tuple[int, int, int], high: tuple[int,
     import numpy as np
     import pyarrow as pa
 
-    def hsv(image: np.ndarray) -> np.ndarray:
-        b, g, r = (image[..., i].astype(float) for i in range(3))
-        top = image.max(-1).astype(float)
-        spread = top - image.min(-1)
-        some = np.maximum(spread, 1)
-        hue = np.select([spread == 0, top == r, top == g], [0.0, (g - b) / some * 60, 120 + (b - r) / some * 60], 240 + (r - g) / some * 60)
-        return np.stack([np.rint(np.where(hue < 0, hue + 360, hue) / 2) % 180, np.rint(np.divide(255 * spread, np.maximum(top, 1))), top], -1)
+    from attesta.operators.kernels import within
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, upper, right, lower = region
@@ -124,8 +118,7 @@ def colour_shares(frames: DataFrame, low: tuple[int, int, int], high: tuple[int,
             out = []
             for w, h, data in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "pixels")), strict=True):
                 image = np.frombuffer(data, np.uint8).reshape(h, w, 3)[int(h * upper) : int(h * lower), int(w * left) : int(w * right)]
-                x = hsv(image)
-                out.append(float(((x >= low) & (x <= high)).all(-1).mean()) if image.size else None)
+                out.append(float(within(image, (low, high)).mean()) if image.size else None)
             yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(out, pa.float64())], ["idx", "share"])
 
     return frames.select(F.col("idx").cast("long").alias("idx"), "width", "height", "pixels").mapInArrow(run, "idx long, share double")

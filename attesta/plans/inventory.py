@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta import localisation
 from attesta.domain import CATEGORIES
 from attesta.functions import collections, numbers, text
-from attesta.operators import batches, cachelog, consensus, geometry, ranking, rewards, timeline
+from attesta.operators import batches, cachelog, consensus, geometry, kernels, ranking, rewards, timeline
 from attesta.plans import standins as s
 from attesta.plans.catalogue import _wire
 from attesta.plans.queries import _CACHE, _ENTITIES, _EV, _OBS, _SNAPS, QUERIES, _entities, query
@@ -482,6 +483,15 @@ def reader_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.chosen_reader(first, last, "primary").union(consensus.chosen_reader(first, last, "alternate"))
 
 
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, ['Lv14', 'Lv17', 'Lv70', 'Lv47'][n_nationkey % 4 + 1] AS label, true AS clear FROM nation")
+def template_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that are read from pixels by their likeness to templates; the second best is worse."""
+    labels = ["Lv14", "Lv17", "Lv70", "Lv47"]
+    bank = spark.createDataFrame([(x, x, "level", bytearray(kernels.label_mask(np.frombuffer(s.drawn(x, 0), np.uint8).reshape(40, 120, 3), "level").tobytes())) for x in labels], "item string, label string, family string, mask binary")
+    scores = kernels.template_scores(kernels.masks(s.patches(spark, sf_dir, labels)), bank)
+    return ranking.top_with_margin(ranking.best_per_label(scores)).select(F.col("query").alias("key"), "label", (F.col("margin") > 0.01).alias("clear"))
+
+
 # ---- batches, candidates, cache --------------------------------------------------------------------------------------
 
 

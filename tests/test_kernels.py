@@ -1,0 +1,117 @@
+"""Kernels on drawn patches, and their parts against plain loops."""
+
+import random
+
+import numpy as np
+import pytest
+
+from attesta.operators import kernels, ranking
+
+#: Glyphs of five columns and seven rows, as drawn here.
+GLYPHS = {"L": "10000 10000 10000 10000 10000 10000 11111", "v": "00000 00000 10001 10001 01010 01010 00100", "1": "00100 01100 00100 00100 00100 00100 01110", "4": "00010 00110 01010 10010 11111 00010 00010", "7": "11111 00001 00010 00010 00100 00100 00100", "0": "01110 10001 10011 10101 11001 10001 01110"}
+
+
+def drawn(text, scale=3, at=(8, 6), size=(120, 40), stroke=(255, 255, 255), ground=(90, 40, 30)):
+    image = np.empty((size[1], size[0], 3), np.uint8)
+    image[:] = ground
+    x, y = at
+    for c in text:
+        for r, line in enumerate(GLYPHS[c].split()):
+            for k, bit in enumerate(line):
+                if bit == "1":
+                    image[y + r * scale : y + (r + 1) * scale, x + k * scale : x + (k + 1) * scale] = stroke
+        x += 6 * scale
+    return image
+
+
+def test_parts_against_flood_fill():
+    r = random.Random(2)
+    for _ in range(40):
+        mask = np.array([[r.random() < 0.45 for _ in range(r.randint(1, 14))]] * 1)
+        mask = np.array([[r.random() < 0.45 for _ in range(mask.shape[1])] for _ in range(r.randint(1, 12))])
+        want, number = np.zeros(mask.shape, int), 0
+        for y, x in zip(*np.nonzero(mask), strict=True):
+            if not want[y, x]:
+                number += 1
+                todo = [(y, x)]
+                while todo:
+                    a, b = todo.pop()
+                    if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not want[a, b]:
+                        want[a, b] = number
+                        todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        label, boxes = kernels.parts(mask)
+        assert (label == want).all() and len(boxes) == number
+        for k, (x, y, w, h, area) in enumerate(boxes.tolist(), 1):
+            ys, xs = np.nonzero(want == k)
+            assert (x, y, w, h, area) == (xs.min(), ys.min(), np.ptp(xs) + 1, np.ptp(ys) + 1, len(xs))
+
+
+def test_opening_and_sizes():
+    mask = np.zeros((9, 9), bool)
+    mask[1, :] = True  # thin
+    mask[4:8, 2:6] = True
+    kept = kernels.opened(mask)
+    assert kept[4:8, 2:6].all() and kept.sum() == 16
+    image = np.arange(48, dtype=np.uint8).reshape(6, 8)
+    assert (kernels.resized(image, 8, 6) == image).all()
+    assert kernels.resized(image, 1, 1)[0, 0] == round(image.mean())
+    assert (kernels.resized(image, 16, 12)[::2, ::2] == image).all()
+
+
+def test_likeness_against_correlation():
+    rng = np.random.default_rng(1)
+    image, t = rng.integers(0, 255, (9, 12)), rng.integers(0, 255, (5, 7))
+    want = max(np.corrcoef(image[y : y + 5, x : x + 7].ravel(), t.ravel())[0, 1] for y in range(5) for x in range(6))
+    assert kernels.likeness(image, t) == pytest.approx(want)
+    assert kernels.likeness(np.zeros((5, 7)), t) == 0
+
+
+def test_labels():
+    a, moved, other = (kernels.label_mask(drawn(t, at=at), "level") for t, at in (("Lv14", (8, 6)), ("Lv14", (15, 9)), ("Lv17", (8, 6))))
+    assert a.shape == kernels.CANVAS
+    assert kernels.similarity(a, moved) == pytest.approx(1) and kernels.similarity(a, other) < 0.97
+    assert kernels.digit_similarity(a, moved) == pytest.approx(1)
+    assert kernels.digit_similarity(a, other) < 0.8
+    assert kernels.digit_similarity(a, kernels.label_mask(drawn("Lv1"), "level")) == 0
+    larger = kernels.label_mask(drawn("Lv14", scale=4, size=(140, 50)), "level")
+    assert kernels.similarity(a, larger) > 0.9
+    assert kernels.label_mask(drawn(""), "level") is None
+    skill = drawn("47", stroke=(20, 20, 20), ground=(250, 250, 250))
+    assert kernels.label_mask(skill, "skill") is not None and kernels.label_mask(skill, "level") is None
+
+
+def test_tier_without_border():
+    mask = np.zeros(kernels.CANVAS, np.uint8)
+    mask[3, 20:140] = mask[36, 20:140] = 255  # a thin frame
+    mask[8:32, 60:68] = mask[8:32, 80:100] = 255
+    kept = kernels.cleaned_tier(mask)
+    assert kept[4:36].max() == 255 and kept[:4].max() == 0
+    assert (kernels.cleaned_tier(np.zeros(kernels.CANVAS, np.uint8)) == 0).all()
+
+
+def icon(kind, n=100, shift=0):
+    """A blue disc with a white bar or cross in it, and the strokes' opacity."""
+    y, x = np.mgrid[:n, :n]
+    image = np.full((n, n, 3), 230, np.uint8)
+    disc = (x - n / 2) ** 2 + (y - n / 2) ** 2 < (0.47 * n) ** 2
+    image[disc] = (200, 60, 30)
+    strokes = (abs(x - n / 2 - shift) < 6) & (abs(y - n / 2) < 25)
+    if kind == "cross":
+        strokes |= (abs(y - n / 2) < 6) & (abs(x - n / 2 - shift) < 25)
+    image[strokes] = 255
+    return image, strokes[10:90, 10:90].astype(np.uint8) * 255
+
+
+def test_symbols_over_tables(spark):
+    image = {k: icon(k)[0] for k in ("bar", "cross")}
+    row = lambda key, family, x: (key, family, x.shape[1], x.shape[0], bytearray(x.tobytes()))
+    rows = [row(k, "symbol", v) for k, v in image.items()] + [row("none", "symbol", np.full((50, 50, 3), 250, np.uint8)), row("l14", "level", drawn("Lv14")), row("l17", "level", drawn("Lv17", at=(12, 8)))]
+    found = kernels.masks(spark.createDataFrame(rows, "key string, family string, width int, height int, pixels binary"))
+    held = {r.key: r.mask for r in found.collect()}
+    assert held["none"] is None and len(held["bar"]) == kernels.SYMBOL**2
+    bank = [("bar", "BAR", "symbol", bytearray(kernels.resized(icon("bar")[1], 96, 96).tobytes())), ("cross", "CROSS", "symbol", bytearray(kernels.resized(icon("cross")[1], 96, 96).tobytes()))]
+    bank += [(t, t, "level", bytearray(kernels.label_mask(drawn(t), "level").tobytes())) for t in ("Lv14", "Lv17", "Lv70")]
+    scores = kernels.template_scores(found, spark.createDataFrame(bank, "item string, label string, family string, mask binary"))
+    best = {r.query: (r.label, r.margin) for r in ranking.top_with_margin(ranking.best_per_label(scores)).collect()}
+    assert {k: v[0] for k, v in best.items()} == {"bar": "BAR", "cross": "CROSS", "l14": "Lv14", "l17": "Lv17"}
+    assert min(v[1] for v in best.values()) > 0.01
