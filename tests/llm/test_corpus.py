@@ -706,13 +706,13 @@ def test_the_budget_is_a_tenth_of_every_item():
 # ---- 9: language ---------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_sums_to_one(spark):
     r = random.Random(2)
     texts = ["".join(r.choice("abc ") for _ in range(200)) for _ in range(5)]
     parts, _ = language._grams(*language.symbols(texts))
-    w = np.stack(parts, 1)
-    _, example, n = np.unique(language.gram_hash(parts), return_index=True, return_counts=True)
-    m = language.build(["x", "y"], {"x": (w[example], n), "y": (w[example][::2], n[::2])})
+    counts = Counter(zip(*(p.tolist() for p in parts), strict=True))
+    rows = [(lang, a << 32 | b, c << 32 | d, n) for i, ((a, b, c, d), n) in enumerate(sorted(counts.items())) for lang in (("x", "y") if i % 2 else ("x",))]
+    m = language.opened(language.store(spark.createDataFrame(rows, "lang string, first long, last long, n long").withColumn("n_aside", F.lit(0)))[0])
     alphabet = np.array([*sorted({ord(c) for c in "abc "}), ord("q")], np.uint32)  # and one that no text has
     for context in ("abc", "aaa", "\0\0\0", "zzz", "c a"):
         logs = m.logs([*(np.full(len(alphabet), ord(c), np.uint32) for c in context), alphabet])
@@ -751,8 +751,8 @@ def test_kneser_ney_equals_dictionaries(spark):
     rows = [(k, t, lang) for k, (t, lang) in enumerate((t, lang) for lang, ts in texts.items() for t in ts)]
     df = spark.createDataFrame([(10 * k + 3, t, lang) for k, t, lang in rows], "doc_id long, text string, lang string")
     ids = {x.doc_id: x.aside for x in language.learnable(df).withColumn("aside", language.aside()).collect()}
-    table = language.counted(df)
-    for without, model in ((False, table.model()), (True, table.model(without_aside=True))):
+    for without, stored in enumerate(language.store(language.gram_counts(df))):
+        model = language.opened(stored)
         used = {lang: [" ".join(t.split()) for k, t, x in rows if x == lang and 10 * k + 3 in ids and not (without and ids[10 * k + 3])] for lang in texts}
         alphabet = 1 + len({c for ts in used.values() for t in ts for c in t})
         brute = {lang: brute_kneser_ney(ts, alphabet) for lang, ts in used.items()}
@@ -789,8 +789,8 @@ def test_the_model_keeps_every_gram(spark):
     ids = {x.doc_id for x in learned.select("doc_id").collect()}
     grams = {t[k : k + 4] for i, x, _ in rows if i in ids for t in ["\0\0\0" + x] for k in range(len(x))}
     assert len(grams) > 1_000_000
-    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(model.grams[-1].keys) == len(grams)
+    model = language.opened(language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert len(model.grams[-1][0].keys) == len(grams)
 
 
 # ---- whole queries and the pipeline --------------------------------------------------------------------------------
