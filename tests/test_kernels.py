@@ -115,3 +115,16 @@ def test_symbols_over_tables(spark):
     best = {r.query: (r.label, r.margin) for r in ranking.top_with_margin(ranking.best_per_label(scores)).collect()}
     assert {k: v[0] for k, v in best.items()} == {"bar": "BAR", "cross": "CROSS", "l14": "Lv14", "l17": "Lv17"}
     assert min(v[1] for v in best.values()) > 0.01
+
+
+def test_frames_are_read(spark):
+    """Two labels on each frame, of which one is missing on the last."""
+    frames = []
+    for i, (a, b) in enumerate((("Lv14", "Lv70"), ("Lv17", "Lv14"), ("Lv70", ""))):
+        image = np.concatenate([drawn(a, at=(8 + i, 6)), drawn(b, at=(10, 8 + i % 2))])
+        frames.append((f"f{i}", image.shape[1], image.shape[0], bytearray(image.tobytes())))
+    bank = [(x, x, "level", bytearray(kernels.label_mask(drawn(x), "level").tobytes())) for x in ("Lv14", "Lv17", "Lv70")]
+    boxes = [("upper", "level", 0.0, 0.0, 1.0, 0.5), ("lower", "level", 0.0, 0.5, 1.0, 1.0)]
+    found = kernels.read_frames(spark.createDataFrame(frames, "key string, width int, height int, pixels binary"), boxes, spark.createDataFrame(bank, "item string, label string, family string, mask binary")).collect()
+    assert {(r.key, r.field): r.label for r in found} == {("f0", "upper"): "Lv14", ("f0", "lower"): "Lv70", ("f1", "upper"): "Lv17", ("f1", "lower"): "Lv14", ("f2", "upper"): "Lv70", ("f2", "lower"): None}
+    assert all(r.score > 0.99 for r in found if r.label)
