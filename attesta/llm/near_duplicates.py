@@ -14,8 +14,8 @@
 
 Only one document of each group of equal texts takes part in 1-3 beyond its signature.  Defined results: words are separated
 by white space of ASCII; a text of fewer than five words is one shingle; a text without words is in a class with equal texts
-only; a null text is empty; the class id is the least doc_id of the class; rows without doc_id get no class; rows that share a doc_id
-and differ in text have a class each, by text.
+only; a null text is empty; the class id is the least doc_id of the class; rows without doc_id get no class; a text
+counts under the least doc_id that has it, and texts under one doc_id are one document, linked where any of them is.
 """
 
 from __future__ import annotations
@@ -116,7 +116,8 @@ def sketched(docs: DataFrame, *, n: int = WORDS, bands: int = BANDS, rows: int =
 
 
 def linked(ids: np.ndarray, column: pa.Array, n: int, similarity: float) -> list[tuple[int, int]]:
-    """Links (document, least document of its part) among the documents of one unit, by exact comparison of all pairs."""
+    """Links (document, least document of its part) among the documents of one unit, by exact comparison of all pairs; ``ids``
+    ascend, and equal ones are one document."""
     rows, keys, sizes = [], [], np.zeros(len(ids))
     for s in slices(column):
         row, h, _ = shingles(s, n)
@@ -141,13 +142,13 @@ def linked(ids: np.ndarray, column: pa.Array, n: int, similarity: float) -> list
     union = sizes[:, None] + sizes[None, :] - common
     # 1e-9: 4 / 5 of whole numbers must count as 0.8
     near = (common > 0) & (common >= (similarity - 1e-9) * union)
-    np.fill_diagonal(near, True)
+    near |= ids[:, None] == ids[None, :]
     label = np.arange(len(ids))  # ids ascend, so the least index is the least document
     while True:
         new = np.where(near, label[None, :], len(ids)).min(1)
         new = new[new]
         if (new == label).all():
-            return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label.tolist()) if i != j]
+            return sorted({(int(ids[i]), int(ids[j])) for i, j in enumerate(label.tolist()) if ids[i] != ids[j]})
         label = new
 
 
@@ -158,8 +159,12 @@ def _verified(units: DataFrame, n: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(unit: tuple[int, int, int], parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
-            ids, keep = np.unique(np.asarray(t.column("doc_id")), return_index=True)
-            found = linked(ids, t.column("text").take(pa.array(keep)).combine_chunks(), n, similarity) if len(ids) > 1 else []
+            ids, text = np.asarray(t.column("doc_id"), np.int64), t.column("text").combine_chunks()
+            text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+            code = np.asarray(text.dictionary_encode().indices, np.int64)
+            order = np.lexsort((code, ids))
+            keep = order[np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (code[order][1:] != code[order][:-1])])]  # a hub can be in its own chunk
+            found = linked(ids[keep], text.take(pa.array(keep)), n, similarity) if len(keep) > 1 else []
             return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)), pa.array([unit[2] == WHOLE] * len(found), pa.bool_())], ["a", "b", "whole"])
 
         held: list[pa.RecordBatch] = []

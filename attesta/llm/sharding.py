@@ -2,8 +2,9 @@
 
 Native: DataFrame and SQL functions only.  The rows that move are (doc_id, size, checksum), never texts.
 
-1. The small rows are dealt by ranges of (doc_id, size, checksum), so that rows of one doc_id can be split, into more pieces than tasks and written once, each with the number of
-   its piece, so that later passes see the same pieces even after executors are lost.
+1. The small rows are dealt by ranges of (doc_id, size, checksum), so that rows of one doc_id can be split, into more pieces
+   than tasks and written once, each with the number of its piece, so that later passes see the same pieces even after executors
+   are lost.
 2. Per-piece totals, one row a piece, get their prefix sums; their number is bounded by ``pieces``.
 3. Inside a piece, running sums start from the piece's base; a row belongs to the shard in whose equal share of all bytes
    the middle of the row lies.

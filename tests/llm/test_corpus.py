@@ -582,6 +582,16 @@ def test_near_duplicates_on_odd_rows(spark, odd):
     assert kept.columns == odd.columns and kept.where("doc_id is not null").groupBy("doc_id", "text").count().where("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [400, 3])
+def test_texts_under_one_doc_id_are_one_document(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_duplicates, "CHUNK_DOCS", chunk)
+    a, b = ([f"{x}{i}" for i in range(80)] for x in "ab")
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), *((6 + i, near(a, 0 if i % 2 else 79)) for i in range(2)), *((20 + i, near(b, 0 if i % 2 else 79)) for i in range(2)), (30, " ".join(b)), (40, "on its own"), (40, "and this")]
+    got = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter((d, 40 if d == 40 else 5) for d, _ in rows)
+
+
 def test_repeats_of_shared_shingles_lose_no_link(spark):
     rows = []
     for i in range(40):
