@@ -7,6 +7,7 @@ when the driver ends in order; ``clear`` removes it earlier.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="attesta-")
+        own = tempfile.mkdtemp(prefix="attesta-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
