@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that goes to a worker, about.
+BATCH_BYTES = 8 << 20
 #: UTF-8 bytes of text that a kernel takes at once: its arrays of words then stay near a processor's cache.
 SLICE_BYTES = 256 << 10
 
@@ -37,7 +39,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers that start from now on import this package from where the driver has it."""
+    """Lets Python workers that start from now on import this package from where the driver has it, and holds the session's Arrow
+    batches to ``BATCH_BYTES``: a batch stands in the memory of the JVM and of the worker at once, beside each other."""
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if not 0 < most <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import decontamination, language, near_duplicates, packing, pages, personal, quality, sharding, suffix_dedup, token_files, tokens
-from attesta.llm.common import slices
+from attesta.llm.common import importable, slices
 from attesta.llm.components import components
 from attesta.llm.queries import ORACLE_SQL, QUERIES
 
@@ -51,6 +51,18 @@ def plain(odd):
     return [(r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()]
 
 
+def test_batches_are_held_to_a_size(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name)
+    try:
+        for given, want in (("64m", "8388608b"), ("-1", "8388608b"), ("1m", "1m")):
+            spark.conf.set(name, given)
+            importable(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, kept)
+
+
 # ---- 5: shards -----------------------------------------------------------------------------------------------------
 
 
