@@ -144,14 +144,14 @@ def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(size: int = SIZE, count: int = COUNT, rounds: int = ROUNDS, seed: str = SEED) -> str:
     """The same as SQL for DuckDB: a table of centroids and one of assignments for each round."""
     steps = [
-        f"""v AS MATERIALIZED (SELECT vec_id, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, list_transform(embedding, x -> CAST(floor(greatest(least({SCALE} * CAST(x AS DOUBLE), {LARGEST}), -{LARGEST})) AS BIGINT)) AS v
-FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {size})""",
+        f"""v AS MATERIALIZED (SELECT vec_id, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, list_transform(embedding, lambda x: CAST(floor(greatest(least({SCALE} * CAST(x AS DOUBLE), {LARGEST}), -{LARGEST})) AS BIGINT)) AS v
+FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {size})""",
         "r AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, v FROM v)",
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT h, v FROM v ORDER BY h, v LIMIT {count}))",
     ]
     for i in range(rounds + 1):
         steps.append(f"""a{i} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best
-FROM (SELECT row, vec_id, r.v, c, CAST(list_sum(list_transform(list_zip(r.v, k.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM r, c{i} k) GROUP BY row)""")
+FROM (SELECT row, vec_id, r.v, c, CAST(list_sum(list_transform(list_zip(r.v, k.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM r, c{i} k) GROUP BY row)""")
         if i < rounds:
             steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v
 FROM (SELECT best.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, {size + 1}) AS t(j) GROUP BY best.c, j) GROUP BY c) m USING (c))""")

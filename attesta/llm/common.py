@@ -147,6 +147,27 @@ class SpanHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Bits of the first n bytes of a word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of a byte array.  A span's blocks of eight bytes are mixed, each with its place in the span, before they
+    are summed up: unlike a polynomial of the bytes, no texts are known whose hashes agree by their form.  Spans of up to eight
+    bytes and of one length never agree."""
+    size = end - start
+    blocks = (size + 7) >> 3
+    sums = np.concatenate([[0], np.cumsum(blocks)])
+    span = np.repeat(np.arange(len(size)), blocks)
+    block = np.arange(sums[-1]) - sums[span]
+    at = start[span] + 8 * block
+    read = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)[at].view("<u8").ravel().astype(U64, copy=False)
+    values = mix(mix(read & _FIRST[np.minimum(size[span] - 8 * block, 8)]) + block.astype(U64) * U64(_OTHER_BASE))
+    total = np.zeros(len(values) + 1, U64)
+    np.cumsum(values, out=total[1:])
+    return mix(total[sums[1:]] - total[sums[:-1]] + size.astype(U64) * U64(_BASE))
+
+
 #: The separators of words: the space and the control characters from tab to carriage return.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

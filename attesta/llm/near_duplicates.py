@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import U64, Slice, SpanHash, apart, documents, mix, partitions, slices, texts, windows, words
+from attesta.llm.common import U64, Slice, apart, documents, mix, partitions, slices, span_hashes, texts, windows, words
 from attesta.llm.components import components
 from attesta.scratch import written
 
@@ -46,7 +46,7 @@ _GOLDEN = U64(0x9E3779B97F4A7C15)
 def shingles(s: Slice, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, count) of the distinct shingles of each document of a slice, by row and hash."""
     w = words(s)
-    hashes = SpanHash(s.data).of(w.start, w.end)
+    hashes = span_hashes(s.data, w.start, w.end)
     at, h = windows(hashes, w.row, n)
     row = w.row[at]
     length = np.diff(w.first)

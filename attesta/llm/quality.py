@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.llm.common import SEPARATOR, U64, Slice, SpanHash, counted, documents, mix, slices, texts, windows, words
+from attesta.llm.common import SEPARATOR, U64, Slice, counted, documents, mix, slices, span_hashes, texts, windows, words
 
 #: At most so many labelled rows fit the rules.
 SAMPLE_ROWS = 6000
@@ -57,8 +57,8 @@ def _repeats(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def counts(s: Slice) -> dict[str, np.ndarray]:
     """Of each document of a slice, the counts named in COUNTS."""
-    w, spans = words(s), SpanHash(s.data)
-    hashes = spans.of(w.start, w.end)
+    w = words(s)
+    hashes = span_hashes(s.data, w.start, w.end)
     inside = ~SEPARATOR[s.data]
     lead = (s.data & 0xC0) != 0x80
     out = {"n_words": np.diff(w.first), "word_chars": counted(inside & lead, s.at), "n_symbols": counted(_SYMBOL[s.data], s.at)}
@@ -72,7 +72,7 @@ def counts(s: Slice) -> dict[str, np.ndarray]:
     sums = np.zeros(len(s.data) + 1, np.int64)
     np.cumsum(inside, out=sums[1:])
     wordy = sums[ends] > sums[starts]
-    rows, lines = row[wordy], spans.of(starts[wordy], ends[wordy])
+    rows, lines = row[wordy], span_hashes(s.data, starts[wordy], ends[wordy])
     out["n_dup_lines"] = np.bincount(rows[_repeats(rows, lines)[1]], minlength=s.rows)
     out["n_lines"] = np.bincount(rows, minlength=s.rows)
     # windows of words

@@ -6,7 +6,8 @@ texts are cut there, by vectorised comparisons over their bytes; each distinct p
 are kept in flat arrays under a sorted 64-bit hash, and a document is the concatenation of its pieces' ids.  A kept piece is
 used only where a second word agrees too, made of its length and its first and last eight bytes (all of a piece of up to 16
 bytes); other pieces of that hash, and pieces of more than ``LONGEST`` bytes, are encoded where they stand.  Pieces of common scripts go to the library's merging model directly, others through the whole tokenizer.  A vocabulary of another
-kind takes whole texts.  ``tests/llm`` holds the ways against each other.
+kind takes whole texts, and so does a text that holds the string of a special token, for which the library gives that token's id.
+``tests/llm`` holds the ways against each other.
 """
 
 from __future__ import annotations
@@ -67,18 +68,20 @@ def marks(s: Slice, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Encoder:
     """``encode(slice)``: (ids of all its documents, first id of each document)."""
 
+    cuts = staticmethod(cuts)
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
             kind = (spec := json.load(f)).get("pre_tokenizer") or {}
         #: Splits a piece as the library does; None for a vocabulary that splits in another way.
         self.split = regex.compile(public_tokenizers.PATTERN).findall if kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer") else None
+        self.special = [x["content"].encode() for x in spec.get("added_tokens") or ()]
         self.characters = str.maketrans(_byte_characters())
         self.merge = self.tokenizer.model.tokenize
         self._clear()
@@ -107,15 +110,20 @@ class Encoder:
             i += n
         return out
 
-    def _store(self, pieces: list[str]) -> np.ndarray:
-        """Places of the pieces' ids."""
+    def found(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, their number in each)."""
         found = list(map(self._piece, pieces))
         count = np.fromiter(map(len, found), np.int32, len(found))
-        total = int(count.sum())
+        return np.fromiter(chain.from_iterable(found), self.dtype, int(count.sum())), count
+
+    def _store(self, pieces: list[str]) -> np.ndarray:
+        """Places of the pieces' ids."""
+        ids, count = self.found(pieces)
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.dtype)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.dtype, total)
-        place = np.arange(len(found), dtype=np.int32) + len(self.first)
+        self.flat[self.used : self.used + total] = ids
+        place = np.arange(len(count), dtype=np.int32) + len(self.first)
         self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.used += total
@@ -130,11 +138,24 @@ class Encoder:
         return SpanHash(s.data).of(start, end)
 
     def encode(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
-        if self.split is None:
-            raw = s.data.tobytes()
-            found = self.whole([raw[a:b].decode() for a, b in zip(s.at[:-1], s.at[1:], strict=True)])
-            return np.fromiter(chain.from_iterable(found), self.dtype), np.concatenate([[0], np.cumsum(list(map(len, found)))]).astype(np.int64)
-        start = cuts(s)
+        raw = s.data.tobytes()
+        whole = np.full(s.rows, self.split is None)
+        for word in self.special if self.split else ():
+            i = raw.find(word)
+            while i >= 0:  # also where a string lies across two documents, which does no harm
+                whole[np.searchsorted(s.at, i, "right") - 1] = True
+                i = raw.find(word, i + len(word))
+        if not whole.any():
+            return self.by_pieces(s)
+        parts, count = [], []
+        for i in range(s.rows):
+            a, b = int(s.at[i]), int(s.at[i + 1])
+            parts.append(np.array(self.whole([raw[a:b].decode()])[0], self.dtype) if whole[i] else self.by_pieces(Slice(i, i + 1, s.at[i : i + 2] - a, s.data[a:b]))[0])
+            count.append(len(parts[-1]))
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+
+    def by_pieces(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        start = self.cuts(s)
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(s.rows + 1, np.int64)
         end = np.concatenate([start[1:], [len(s.data)]])

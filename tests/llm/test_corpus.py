@@ -142,7 +142,7 @@ def test_learning_is_greedy_and_pruned():
 
 # ---- 8, 10: tokens -------------------------------------------------------------------------------------------------
 
-TRICKY = ["", "  a  b ", "don't it's 'street,x' A   b  \n\n x\n y ", "　x ퟿   a 1,2.3 ##$% $5 -- é,è ñ'll \x1c \x85 \x00,\x00", "<|endoftext|> a<|endoftext|>", " ", "\n a", "x  ,y '  's", "a b  c", "中文 字 。 x"]
+TRICKY = ["", "  a  b ", "don't it's 'street,x' A   b  \n\n x\n y ", "　x ퟿   a 1,2.3 ##$% $5 -- é,è ñ'll \x1c \x85 \x00,\x00", "<|endoftext|> a<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b\n<|endoftext", "x<|endo", "ftext|>", " ", "\n a", "x  ,y '  's", "a b  c", "中文 字 。 x"]
 
 
 def reference_ids(t, tool=[]):  # noqa: B006
@@ -150,7 +150,6 @@ def reference_ids(t, tool=[]):  # noqa: B006
         from tokenizers import Tokenizer
 
         tool.append(Tokenizer.from_file(tokens.tokenizer_path()))
-        tool[0].encode_special_tokens = True
     return tool[0].encode(t, add_special_tokens=False).ids
 
 
