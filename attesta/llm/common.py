@@ -151,6 +151,29 @@ class SpanHash:
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as rows; zeros after the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+
+
+def _read(rows: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A word of the bytes at each place, of which ``left`` count."""
+    return rows[at].view("<u8").ravel().astype(U64, copy=False) & _FIRST[np.minimum(left, 8)]
+
+
+def same_spans(a: np.ndarray, start: np.ndarray, end: np.ndarray, b: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` has the bytes of the span of ``b`` beside it."""
+    out = end - start == other_end - other
+    rows, others, open_, done = eights(a), eights(b), np.flatnonzero(out), 0
+    while len(open_):
+        left = end[open_] - start[open_] - done
+        equal = _read(rows, start[open_] + done, left) == _read(others, other[open_] + done, left)
+        out[open_[~equal]] = False
+        done += 8
+        open_ = open_[equal & (left > 8)]
+    return out
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans of a byte array.  A span's blocks of eight bytes are mixed, each with its place in the span, before they
     are summed up: unlike a polynomial of the bytes, no texts are known whose hashes agree by their form.  Spans of up to eight
@@ -160,9 +183,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     sums = np.concatenate([[0], np.cumsum(blocks)])
     span = np.repeat(np.arange(len(size)), blocks)
     block = np.arange(sums[-1]) - sums[span]
-    at = start[span] + 8 * block
-    read = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)[at].view("<u8").ravel().astype(U64, copy=False)
-    values = mix(mix(read & _FIRST[np.minimum(size[span] - 8 * block, 8)]) + block.astype(U64) * U64(_OTHER_BASE))
+    values = mix(mix(_read(eights(data), start[span] + 8 * block, size[span] - 8 * block)) + block.astype(U64) * U64(_OTHER_BASE))
     total = np.zeros(len(values) + 1, U64)
     np.cumsum(values, out=total[1:])
     return mix(total[sums[1:]] - total[sums[:-1]] + size.astype(U64) * U64(_BASE))
@@ -182,10 +203,10 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def words(s: Slice) -> Words:
+def words(s: Slice, separator: np.ndarray = SEPARATOR) -> Words:
     n = len(s.data)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~SEPARATOR[s.data]
+    inside[1:-1] = ~separator[s.data]
     # A document's end ends a word, though no separator stands there.
     edge = np.zeros(n + 1, bool)
     edge[s.at] = True

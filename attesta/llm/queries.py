@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from attesta.llm import clusters, search
+from attesta.llm.clusters import op13_lloyd
 from attesta.llm.decontamination import op1_pigeonhole_myers
 from attesta.llm.language import op9_kneser_ney
 from attesta.llm.near_duplicates import op6_probminhash
@@ -9,15 +11,20 @@ from attesta.llm.packing import op8_concat_cut
 from attesta.llm.pages import op3_template_classes
 from attesta.llm.personal import op2_weak_supervision
 from attesta.llm.quality import op7_decision_list
+from attesta.llm.search import op11_threshold_seeded_join
+from attesta.llm.sentence_pieces import op12_merge_rounds
 from attesta.llm.sharding import op5_byte_prefix_shards
 from attesta.llm.suffix_dedup import op4_longest_previous_factor
 from attesta.llm.token_files import op10_perfect_hash_files
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_myers, op2_weak_supervision, op3_template_classes, op4_longest_previous_factor, op5_byte_prefix_shards, op6_probminhash, op7_decision_list, op8_concat_cut, op9_kneser_ney, op10_perfect_hash_files)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_myers, op2_weak_supervision, op3_template_classes, op4_longest_previous_factor, op5_byte_prefix_shards, op6_probminhash, op7_decision_list, op8_concat_cut, op9_kneser_ney, op10_perfect_hash_files, op11_threshold_seeded_join, op12_merge_rounds, op13_lloyd)}
 
 #: DuckDB SQL with the same result, where SQL can express it: each string of 50 bytes of each document; prefix sums, with the
-#: checksum from its table; links of all documents that share a shingle, and what they reach.
+#: checksum from its table; links of all documents that share a shingle, and what they reach; scores of all pairs; tables of
+#: centroids, round by round.
 ORACLE_SQL: dict[str, str] = {
+    "op11_threshold_seeded_join": search.SQL,
+    "op13_lloyd": clusters.sql(),
     "op4_longest_previous_factor": """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 s AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
 f AS (SELECT x, min(doc_id) AS first FROM s GROUP BY x HAVING min(doc_id) < max(doc_id)),
