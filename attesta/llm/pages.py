@@ -9,7 +9,10 @@
    under none deeper.  Constant texts are of the template too: those that most of a host's different pages have, each time
    beside another text (copies of one article repeat all of it, and that is no template).
 3. A page is cut along its host's template.  Slots of navigation, page headers and footers, asides, notices, adverts, forms,
-   scripts, styles and comments go, by element, role, class and id, and so do constant texts.  The text is the deepest slot with
+   scripts, styles and comments go, by element, role, class and id, and so do constant texts.  A form, or a class or id that may
+   name a wrapper (``sidebar``, ``widget``), is evidence only: a slot with it stays if it holds half of what the page's articles
+   say (without articles, half of its running text); one that names an advert or notice stays only for an article.  And a slot goes for a host if it goes in half of the pages that have it.
+   Names in class and id count as wholes: ``has-sidebar`` and ``share-price`` name no sidebar and no sharing.  The text is the deepest slot with
    most of the host's running text, where a slot that is an article or main element goes before others; inside it one article
    that holds most of the slot, or several that hold half of it, narrow it.  A page whose host has no template, or that has
    nothing in that slot, is judged by itself in the same way.
@@ -40,13 +43,17 @@ from attesta.scratch import written
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "audio", "video")
-GONE = frozenset("head title nav aside footer form fieldset menu dialog select option optgroup button search legend".split())
+GONE = frozenset("head title nav aside footer menu dialog select option optgroup button search legend".split())
+#: Elements that go unless they hold the page's running text: some servers put whole pages in a form.
+FORMS = frozenset(("form", "fieldset"))
 ARTICLE = {"article": 2, "main": 1}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising advertorial adsense banner breadcrumb breadcrumbs byline comment comments commentlist respond disqus consent cookie cookies gdpr notice notices notification alert menu nav navbar navigation navi sidebar aside widget widgets "
-    "footer foot masthead promo promotion promoted sponsor sponsored sponsors related recommended recommendations share sharing social subscribe subscription newsletter signup login popup modal overlay pagination pager paging toolbar topbar form search skip hidden copyright disclaimer tags replies reply".split()
-)
+#: Names in class and id: of readers' words, of what else isn't the text, and of what may also wrap it.
+READERS = frozenset("comment comments commentlist respond disqus replies reply".split())
+NEVER = frozenset("ad ads adv advert adverts advertisement advertising advertorial adsense banner promo promotion promoted sponsor sponsored sponsors consent cookie cookies gdpr notice notices notification alert share sharing social subscribe subscription newsletter signup login popup modal pagination pager paging copyright".split())
+MARKS = frozenset("breadcrumb breadcrumbs menu nav navbar navigation navi sidebar aside widget widgets footer foot related recommended recommendations overlay toolbar form search skip".split())
+#: Names that say where or how large, not what: beside these a name above still means itself.
+PLACES = frozenset("site page main post entry article blog top bottom left right first second primary secondary global sticky fixed box boxes bar block section area region container wrapper wrap inner outer holder panel slot unit list lists links link button buttons icon icons posts articles stories items body row group zone".split())
 #: Marks that mean the page's own head unless they stand inside the article.
 HEADS = frozenset(("header", "head", "topbar", "masthead"))
 # --------------------------------------------------------------------------------------------------------------------
@@ -59,8 +66,8 @@ CONSTANT = 3
 MASS = 0.7
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?][^>]*>?)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 _LEAF = re.compile(r"(?:p|h[1-6]|li|pre|blockquote)\b")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -81,17 +88,69 @@ class Block(NamedTuple):
         return self.gone_from >= 0
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """The attributes of a tag, names in lower case; of equal names the first counts.  A value is read as a whole, so that nothing inside it
+    is taken for an attribute."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def marked(names: str, of: frozenset[str]) -> bool:
+    """Whether one of the names in class or id is of a set as a whole: all its parts are, or say only where it stands."""
+    for name in names.split():
+        parts = {x.lower() for x in _PART.findall(name)}
+        if parts & of and parts <= of | READERS | NEVER | MARKS | HEADS | PLACES:
+            return True
+    return False
+
+
+class Kind(NamedTuple):
+    token: str
+    goes: bool  # its text goes
+    doubtful: bool  # its text goes unless it is the running text of the page
+    never: bool  # its text goes unless it holds the page's article
+    head: bool  # its text goes unless it stands inside the article
+    article: int
+
+
 @lru_cache(maxsize=20_000)
-def _kind(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """(token, whether its text goes, whether it goes unless it stands inside the article)."""
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-    label = re.sub(r"\d+", "0", " ".join(sorted(f"{found.get('class', '')} {found.get('id', '')}".split())))
-    marks = {p.lower() for p in _PART.findall(label)}
-    role = found.get("role", "").lower()
-    hidden = ("hidden" in found and "hidden=" not in attributes.lower().replace("aria-hidden", "")) or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    sole = name in ARTICLE or name in ("html", "body")
-    gone = hidden or name in GONE or role in ROLES - {"banner"} or (not sole and bool(marks & (MARKS - HEADS)))
-    return f"{name}.{label}" if label else name, gone, name == "header" or role == "banner" or (not sole and bool(marks & HEADS))
+def _kind(name: str, raw: str) -> Kind:
+    found = attributes(raw) if raw else {}
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    label = re.sub(r"\d+", "0", " ".join(sorted(names.split()))).replace("/", "\\")
+    role = found.get("role", "").strip().lower()
+    hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
+    whole = name in ("html", "body", "main")
+    readers = not whole and marked(names, READERS)
+    never = not whole and marked(names, NEVER)
+    goes = hidden or name in GONE or role in ROLES - {"banner", "form", "search"} or readers
+    doubtful = name in FORMS or role in ("form", "search") or (not whole and name not in ARTICLE and marked(names, MARKS))
+    head = name == "header" or role == "banner" or (not whole and name not in ARTICLE and marked(names, HEADS))
+    return Kind(f"{name}.{label}" if label else name, goes, doubtful, never, head, 0 if readers or never else ARTICLE.get(name, 0))
+
+
+def _settled(found: list[Block], doubts: dict[int, int], never: set[int]) -> list[Block]:
+    """The blocks, those under a doubtful element (-> its level) as gone unless it holds half of what runs inside the page's
+    articles, or without articles half of what runs in the page and isn't under one of ``never``."""
+    if not doubts:
+        return found
+    top = max((b.article for b in found if not b.gone and _running(b)), default=0)
+    mass: Counter[int] = Counter()
+    total = 0
+    for b in found:
+        if not b.gone and b.article == top and (top == 2 or never.isdisjoint(b.elements)):
+            total += _running(b)
+            for e in b.elements:
+                if e in doubts and (e not in never or any(_name(t) == "article" for t in b.path[doubts[e] + 1 :])):
+                    mass[e] += _running(b)
+    goes = {e for e in doubts if 2 * mass[e] < total or not total}
+    return [b._replace(gone_from=min(x for x in (level, b.gone_from) if x >= 0)) if (level := next((doubts[e] for e in b.elements if e in goes), -1)) >= 0 else b for b in found]
+
+
+def _running(b: Block) -> int:
+    return max(0, len(b.text) - b.links)
 
 
 def blocks(page: str) -> list[Block]:
@@ -101,6 +160,8 @@ def blocks(page: str) -> list[Block]:
     open_: list[tuple[str, tuple[str, ...], tuple[int, ...], int, int]] = [("", (), (), -1, 0)]
     opened = 0
     text: list[str] = []
+    doubts: dict[int, int] = {}
+    never: set[int] = set()
     inline_gone: list[tuple[str, int]] = []  # (name, open block elements) of inline elements that go, and what is open of their name inside
     link, linked = 0, 0
     at, n = 0, len(page)
@@ -166,13 +227,17 @@ def blocks(page: str) -> list[Block]:
                             break
                         if open_[i][0] in ("ul", "ol", "menu"):
                             break
-                token, gone, head = _kind(name, m[3])
+                kind = _kind(name, m[3])
                 _, path, elements, was, article = open_[-1]
                 if not m[3].endswith("/"):
                     opened += 1
-                    if was < 0 and (gone or (head and not article)):
+                    if was < 0 and (kind.goes or (kind.head and not article)):
                         was = len(path)
-                    open_.append((name, (*path, token), (*elements, opened), was, max(article, ARTICLE.get(name, 0) if was < 0 else 0)))
+                    elif was < 0 and (kind.doubtful or kind.never):
+                        doubts[opened] = len(path)
+                        if kind.never:
+                            never.add(opened)
+                    open_.append((name, (*path, kind.token), (*elements, opened), was, max(article, kind.article if was < 0 else 0)))
         elif name in ("td", "th"):
             text.append(" ")
         elif name == "a":
@@ -181,10 +246,10 @@ def blocks(page: str) -> list[Block]:
             if m[1]:
                 if inline_gone and inline_gone[-1][0] == name:
                     inline_gone.pop()
-            elif not m[3].endswith("/") and (inline_gone[-1][0] == name if inline_gone else name == "button" or (m[3] and _kind(name, m[3])[1])):
+            elif not m[3].endswith("/") and (inline_gone[-1][0] == name if inline_gone else name == "button" or (m[3] and ((k := _kind(name, m[3])).goes or k.never))):
                 inline_gone.append((name, len(open_)))
     flush()
-    return out
+    return _settled(out, doubts, never)
 
 
 # ---- occurrence vectors --------------------------------------------------------------------------------------------
@@ -236,7 +301,7 @@ def occurrences(page: str) -> Seen:
 
 
 _PARTS = "host string, token string, support long, total long, one long, two long, mass long, gone long, text long, beside long, place long"
-_SUMS = ("support", "total", "one", "two", "mass")
+_SUMS = ("support", "total", "one", "two", "mass", "gone")
 
 
 def host() -> F.Column:
@@ -268,7 +333,7 @@ def templates(pages: DataFrame) -> DataFrame:
                     key = hash((seed, count))
                     for i, x in enumerate((1, count, key & 0x7FFFFFFF, key >> 31 & 0x7FFFFFFF, mass)):
                         own[i] += x
-                    own[5] |= gone
+                    own[5] += gone
                 texts += [(h, t, *own) for t, own in seen.texts.items()]
                 texts.append((h, 0, seen.whole, 0, 0))
             if len(held) + len(texts) > 200_000:
@@ -278,13 +343,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
     some = pages.select(host().alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where("host <> ''")
     parts = written(some.mapInArrow(run, _PARTS), "occurrences")
-    found = parts.where("token is not null").groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in _SUMS), F.max("gone").alias("gone")).where("support > 1")
+    found = parts.where("token is not null").groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in _SUMS)).where("support > 1")
     texts = parts.where("text is not null").groupBy("host", "text", "place").agg(F.count_distinct("beside").alias("support"), F.sum("mass").alias("mass")).where("support > 1")
     found = written(found.unionByName(texts, allowMissingColumns=True), "tokens")
     roots = found.where("token = '' or text = 0").groupBy("host").agg(F.max(F.when(F.col("token") == "", F.col("support"))).alias("pages"), F.max(F.when(F.col("text") == 0, F.col("support"))).alias("different"))
     least = lambda n, of: F.greatest(F.lit(n), F.ceil(F.col(of) * SUPPORT))
     often = found.join(roots, "host").where(F.col("support") >= F.when(F.col("token").isNull(), least(CONSTANT, "different")).otherwise(least(2, "pages"))).where("text is null or text <> 0")  # at most 1 / SUPPORT times the tokens of a page
-    rows = often.groupBy("host").agg(F.collect_list(F.struct("token", *_SUMS, "gone", "text", "place")).alias("tokens"))
+    rows = often.groupBy("host").agg(F.collect_list(F.struct("token", *_SUMS, "text", "place")).alias("tokens"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +397,7 @@ def deduce(tokens: list[dict]) -> Template:
         while place:
             mass[place] -= t["mass"]
             place = place.rpartition("/")[0]
-    main = _heaviest({k: mass[k] for k, v in valid.items() if not v["gone"] and not _LEAF.match(_name(k))})
+    main = _heaviest({k: mass[k] for k, v in valid.items() if 2 * v["gone"] < v["support"] and not _LEAF.match(_name(k))})
     return Template(frozenset(valid), main, frozenset(t["text"] for t in constant))
 
 
@@ -347,10 +412,6 @@ def _under(found: list[Block], token: str | None) -> list[Block]:
     return [b for i, b in enumerate(found) if inside[i] or (i < first and re.match(r"h[12]\b", b.path[-1] if b.path else "") and paths[i].startswith(f"{beside}/" if beside else ""))]
 
 
-def _running(b: Block) -> int:
-    return max(0, len(b.text) - b.links)
-
-
 def narrowed(found: list[Block]) -> list[Block] | None:
     """The blocks of the article that holds most of the running text of ``found``, or of several that hold half of it; else the
     same of main elements; None without any."""
