@@ -7,7 +7,8 @@ fewer than g edits, so a hit whose group doesn't is dropped.  The other hits of
 window, which Myers' bit-parallel algorithm verifies.
 
 Items and texts are compared in lower case with runs of white space as one space.  The budget is ``RATE`` of the length at
-every length, so pieces have some nine characters, and items of fewer than ten characters occur exactly or not at all.
+every length, so pieces have some nine characters, and items of fewer than ``SHORT`` characters occur exactly, as whole words, or
+not at all; ``clean`` removes no document for them, for they say little about where a text comes from.
 
 The items are the query set: they are taken in blocks of bounded size, each block against every document, so what a task
 holds does not grow with the benchmark.  Documents are not shuffled.  Defined results: null and empty texts and items match
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from attesta.llm.common import documents, texts
 
 RATE = 0.1
+#: Characters (after ``normal``) below which an item must stand between words, and doesn't make ``clean`` drop a document.
+SHORT = 10
 #: Characters of items in a block.
 BLOCK = 2_000_000
 
@@ -133,6 +136,14 @@ class Matcher:
             return True
         return any(d < 3 for _, d in myers(self.items[k][1][low:high], text[max(0, at - (a - low) - 2) : at + high - a + 2]))
 
+    def _apart(self, k: int, text: str, at: int) -> bool:
+        """Whether item k, if it is short, stands at ``at`` as whole words."""
+        pattern = self.items[k][1]
+        if len(pattern) >= SHORT:
+            return True
+        end = at + len(pattern)
+        return not (at and text[at - 1].isalnum() and pattern[0].isalnum()) and not (end < len(text) and text[end].isalnum() and pattern[-1].isalnum())
+
     def _verify(self, k: int, text: str, low: int, high: int) -> tuple[int, int, int] | None:
         """(distance, start, end) of item k in text, for matches that start near low..high."""
         pattern, budget = self.items[k][1], self.budget[k]
@@ -155,7 +166,7 @@ class Matcher:
         for end, (size, where) in self.automaton.iter(low):
             at = end + 1 - size
             for k, a, *group in where:
-                if self._near(low, at, end + 1, k, a, *group):
+                if self._near(low, at, end + 1, k, a, *group) and self._apart(k, low, at - a):
                     diagonals[k].append(at - a)
         out, back = [], None
         for k, starts in sorted(diagonals.items()):
@@ -209,10 +220,11 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block:
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns, no shuffle."""
+def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block: int = BLOCK, least: int = SHORT) -> DataFrame:
+    """``docs`` without the documents that hold an item of ``least`` characters or more; all columns, no shuffle."""
     place = docs.columns.index("text")
     for items in blocks(benchmark, block):
+        items = tuple(x for x in items if len(normal(x[1])) >= least)
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
