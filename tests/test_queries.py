@@ -8,6 +8,7 @@ import pytest
 
 import attesta.plans.catalogue  # noqa: F401
 import attesta.plans.inventory  # noqa: F401
+import attesta.plans.matching  # noqa: F401
 from attesta.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
