@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from attesta.operators import batches, cachelog, consensus, evaluation, quality, rewards, snapshots
 from attesta.operators.snapshots import Snapshot
 from attesta.schemas import SCHEMAS
-from attesta.sources import bundles, cached, codec, readers, sinks
+from attesta.sources import bundles, cached, codec, commits, readers, sinks
 
 
 def _session() -> SparkSession:
@@ -31,11 +31,11 @@ def _load(spark: SparkSession, path: str) -> Snapshot:
     """A snapshot folder, or an account file."""
     if path.endswith(".json"):
         return readers.account(spark, path)
-    return Snapshot(spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/readings"))
+    return Snapshot(commits.read_output(spark, path, "entities"), commits.read_output(spark, path, "readings"))
 
 
 def _save(snapshot: Snapshot, path: str, **more: DataFrame) -> None:
-    sinks.write_all({f"{path}/entities": snapshot.entities, f"{path}/readings": snapshot.readings, **{f"{path}/{k}": v for k, v in more.items()}})
+    commits.write_set({"entities": snapshot.entities, "readings": snapshot.readings, **more}, path)
 
 
 def _wire(spark: SparkSession, path: str) -> DataFrame:
@@ -161,12 +161,12 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> None:
         evidence = entities.where("field is not null").select("key", "field", "images")
         entities = people.join(fixed, "key", "left").join(evidence, ["key", "field"], "left").select(entities.columns)
     sinks.write_extraction(a.output, segments=consensus.by_quality(consensus.frame_quality(good)), observations=good.unionByName(bad, allowMissingColumns=True), results=entities, review=consensus.review_queue(entities))
-    _show(consensus.identified(spark.read.parquet(f"{a.output}/results")))
+    _show(consensus.identified(commits.read_output(spark, a.output, "results")))
 
 
 def inspect(spark: SparkSession, a: argparse.Namespace) -> None:
     """What an extraction found, and what needs review; as a page too, if one is asked for."""
-    results = spark.read.parquet(f"{a.input}/results")
+    results = commits.read_output(spark, a.input, "results")
     _show(consensus.review_summary(results))
     _show(consensus.status_histogram(results).orderBy("status"))
     _show(consensus.final_values(results).orderBy("key"), a.limit)
@@ -176,7 +176,7 @@ def inspect(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def doctor(spark: SparkSession, a: argparse.Namespace) -> None:
     """Whether an extraction is sound: the rules that its snapshot breaks, and how often."""
-    found = codec.from_extraction(spark.read.parquet(f"{a.input}/results"))
+    found = codec.from_extraction(commits.read_output(spark, a.input, "results"))
     broken = quality.snapshot_violations(found.entities, found.readings).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy("rule").collect()
     print(json.dumps({"spark": spark.version, "ok": not broken, "broken": {r.rule: r.n for r in broken}}))
     if broken:
@@ -185,7 +185,7 @@ def doctor(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def export_extraction(spark: SparkSession, a: argparse.Namespace) -> None:
     """An extraction as a wire collection."""
-    text, report = codec.export(codec.from_extraction(spark.read.parquet(f"{a.input}/results")), _wire(spark, a.base) if a.base else None, allow_observed=a.allow_observed)
+    text, report = codec.export(codec.from_extraction(commits.read_output(spark, a.input, "results")), _wire(spark, a.base) if a.base else None, allow_observed=a.allow_observed)
     sinks.check_new(spark, [a.output, f"{a.output}.report"])
     text.coalesce(1).write.text(a.output)
     report.write.json(f"{a.output}.report")

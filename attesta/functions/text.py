@@ -42,18 +42,31 @@ def family(field: Column) -> Column:
     )
 
 
+#: What a field of each kind may begin with, its largest number, and whether a word may stand for that one.
+GRAMMARS = {
+    "skill": (("LV",), 10, True),
+    "ex": (("LV",), 5, True),
+    "tier": (("T",), 10, False),
+    "gear": (("T",), 2, False),
+    "bond": (("",), 100, False),
+    "potential": (("LV", ""), 25, False),
+    "level": (("LV",), 100, False),
+}
+_LABEL = rf"\A(?:(T)|(LV)[.,]?|){NUMBER}\z"
+
+
 def parse_field(text: Column, field: Column) -> Column:
-    """The number that a short label shows for a field; null if it isn't exactly of the field's grammar and range."""
-    t, kind, potential = F.upper(stripped(text)), family(field), field.startswith("potential_")
-    t = F.when(potential & t.rlike(_whole(NUMBER)), F.concat(F.lit("LV."), t)).otherwise(t)
-    found = (
-        F.when(kind == "tier", F.regexp_extract(t, _whole(f"T{NUMBER}"), 1))
-        .when(kind == "bond", F.regexp_extract(t, _whole(NUMBER), 1))
-        .otherwise(F.regexp_extract(t, _whole(f"LV[.,]?{NUMBER}"), 1))
-    )
-    most = F.when(potential, 25).when(field == "gear", 2).when(kind == "tier", 10).when(field == "ex", 5).when(kind == "skill", 10).otherwise(100)
-    value = F.nullif(found, F.lit("")).try_cast("int")
-    return F.when((t == "MAX") & (kind == "skill"), F.when(field == "ex", 5).otherwise(10)).otherwise(F.when(value <= most, value)).cast("int")
+    """The number that a short label shows for a field; null if it isn't exactly of the field's grammar and range.
+
+    A label is a beginning and a number; both are looked up in the grammar of the field's kind."""
+    label = F.upper(stripped(text))
+    kind = F.when(field.isin("ex", "gear"), field).when(field.startswith("potential_"), "potential").otherwise(family(field))
+    rules = {k: F.struct(F.array(*map(F.lit, heads)).alias("heads"), F.lit(most).alias("most"), F.lit(word).alias("word")) for k, (heads, most, word) in GRAMMARS.items()}
+    rule = F.create_map(*(x for k, r in rules.items() for x in (F.lit(k), r)))[kind]
+    tier, level, number = (F.regexp_extract(label, _LABEL, k) for k in (1, 2, 3))
+    number = F.nullif(number, F.lit("")).try_cast("int")
+    shown = F.when(F.array_contains(rule["heads"], F.concat(tier, level)) & (number <= rule["most"]), number)
+    return F.when((label == "MAX") & rule["word"], rule["most"]).otherwise(shown).cast("int")
 
 
 def parse_quantity(text: Column) -> Column:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import numpy as np
+from contextlib import suppress
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta import localisation
 from attesta.domain import CATEGORIES
 from attesta.functions import collections, numbers, text
-from attesta.operators import batches, cachelog, consensus, geometry, kernels, ranking, rewards, timeline
+from attesta.operators import batches, cachelog, consensus, geometry, ranking, rewards, timeline
 from attesta.plans import standins as s
 from attesta.plans.catalogue import _wire
 from attesta.plans.queries import _CACHE, _ENTITIES, _EV, _OBS, _SNAPS, QUERIES, _entities, query
 from attesta.scratch import shared_path
-from attesta.sources import codec, readers, sinks
+from attesta.sources import codec, commits, readers, sinks
 
 _BEFORE = set(QUERIES)
 
@@ -97,26 +100,18 @@ def class_mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.class_mapping(spark, path).select("name", "class")
 
 
-@query("SELECT * FROM (VALUES ('both', 25 + 5, 'written'), ('again', 0, 'refused'), ('one taken', 0, 'refused'), ('twice the same', 0, 'refused')) AS t(step, rows, outcome)")
-def outputs_are_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All targets are checked before any is written: nothing is overwritten, and nothing is written if one is taken."""
-    folder = shared_path(spark, "outputs")
-    nation, region = _nations(spark, sf_dir), s.table(spark, sf_dir, "region")
-
-    def step(name: str, outputs: dict[str, DataFrame]) -> tuple[str, int, str]:
-        before = {p for p in outputs if sinks._exists(spark, p)}
-        try:
-            sinks.write_all(outputs)
-        except FileExistsError:
-            return name, sum(1 for p in outputs if sinks._exists(spark, p) and p not in before), "refused"
-        return name, sum(spark.read.parquet(p).count() for p in outputs), "written"
-
-    made = [step("both", {f"{folder}/a": nation, f"{folder}/b": region}), step("again", {f"{folder}/a": nation, f"{folder}/b": region}), step("one taken", {f"{folder}/c": nation, f"{folder}/b": region})]
-    try:
-        sinks.check_new(spark, [f"{folder}/d", f"{folder}/d"])
-    except ValueError:
-        made.append(("twice the same", 0, "refused"))
-    return spark.createDataFrame(made, "step string, rows long, outcome string")
+@query("SELECT 'nations' AS output, n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT 'regions', r_regionkey, r_name FROM region")
+def committed_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two outputs as one commit, after an attempt that failed and before one that came too late: both hold other rows."""
+    path = shared_path(spark, "set")
+    nation, region = s.table(spark, sf_dir, "nation"), s.table(spark, sf_dir, "region")
+    parts = {"nations": nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), "regions": region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))}
+    broken = parts["regions"].select(F.when(F.col("key") >= 0, F.raise_error(F.lit("broken"))).cast("long").alias("key"), "name")
+    for outputs in ({"nations": parts["regions"], "regions": broken}, parts, {k: v.limit(1) for k, v in parts.items()}):
+        with suppress(PySparkException, FileExistsError):
+            commits.write_set(outputs, path)
+    found = [commits.read_output(spark, path, k).select(F.lit(k).alias("output"), "key", "name") for k in commits.outputs(spark, path)]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("SELECT n_regionkey AS n_regionkey, n AS n, (SELECT count(*) FROM nation) AS reported FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey)")
@@ -128,25 +123,23 @@ def output_with_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(nation.schema).json(path).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).crossJoin(reported)  # one row
 
 
-@query("SELECT * FROM (VALUES (1, 'run'), (2, 'run-2'), (3, 'run-3'), (4, 'run-2')) AS t(step, name)")
-def output_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A free name each time; the last one that is there when work goes on."""
-    parent = shared_path(spark, "numbers")
-    region = s.table(spark, sf_dir, "region")
-    names = []
-    for resume in (False, False, False, True):
-        path = sinks.numbered_output(spark, parent, "run", resume)
-        names.append(path.rpartition("/")[2])
-        if len(names) < 3:
-            region.write.parquet(path)
-    return spark.createDataFrame(list(enumerate(names, 1)), "step long, name string")
+@query("SELECT CASE WHEN r = 1 THEN 'run' ELSE 'run-' || r END AS output, n_nationkey, n_name FROM nation JOIN (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS r FROM region) ON n_regionkey = r_regionkey")
+def numbered_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations of each region as a run of its own: each takes the next free name."""
+    parent = shared_path(spark, "runs")
+    nation = s.table(spark, sf_dir, "nation")
+    paths = []
+    for r in s.table(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey").collect():  # five regions
+        paths.append(commits.next_set(spark, parent, "run"))
+        commits.write_set({"nations": nation.where(F.col("n_regionkey") == r[0])}, commits.last_set(spark, parent, "run"))
+    return reduce(DataFrame.unionByName, [commits.read_output(spark, p, "nations").select(F.lit(p.rpartition("/")[2]).alias("output"), "n_nationkey", "n_name") for p in paths])
 
 
 @query(f"WITH {_ENTITIES} SELECT 'results' AS output, count(*) AS rows FROM ent UNION ALL SELECT 'segments', count(*) FROM nation UNION ALL SELECT 'observations', count(*) FROM obs UNION ALL SELECT 'review', count(*) FROM region")
 def extraction_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "extraction")
     sinks.write_extraction(path, segments=_nations(spark, sf_dir), observations=s.observations(spark, sf_dir), results=_entities(spark, sf_dir), review=s.table(spark, sf_dir, "region"))
-    counts = [spark.read.parquet(f"{path}/{x}").agg(F.lit(x).alias("output"), F.count(F.lit(1)).alias("rows")) for x in ("results", "segments", "observations", "review")]
+    counts = [commits.read_output(spark, path, x).agg(F.lit(x).alias("output"), F.count(F.lit(1)).alias("rows")) for x in ("results", "segments", "observations", "review")]
     out = counts[0]
     for c in counts[1:]:
         out = out.union(c)
@@ -483,15 +476,6 @@ def reader_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.chosen_reader(first, last, "primary").union(consensus.chosen_reader(first, last, "alternate"))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, ['Lv14', 'Lv17', 'Lv70', 'Lv47'][n_nationkey % 4 + 1] AS label, true AS clear FROM nation")
-def template_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels that are read from pixels by their likeness to templates; the second best is worse."""
-    labels = ["Lv14", "Lv17", "Lv70", "Lv47"]
-    bank = spark.createDataFrame([(x, x, "level", bytearray(kernels.label_mask(np.frombuffer(s.drawn(x, 0), np.uint8).reshape(40, 120, 3), "level").tobytes())) for x in labels], "item string, label string, family string, mask binary")
-    scores = kernels.template_scores(kernels.masks(s.patches(spark, sf_dir, labels)), bank)
-    return ranking.top_with_margin(ranking.best_per_label(scores)).select(F.col("query").alias("key"), "label", (F.col("margin") > 0.01).alias("clear"))
-
-
 # ---- batches, candidates, cache --------------------------------------------------------------------------------------
 
 

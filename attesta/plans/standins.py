@@ -133,27 +133,3 @@ def cache_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status == "failed", F.when(F.col("k") % 3 == 0, 429).when(F.col("k") % 3 == 1, 503).otherwise(404)).alias("http_status"),
         F.when(F.col("k") % 2 == 0, F.col("k").cast("double") * 10).alias("retry_after"),
     )
-
-
-#: Glyphs of five columns and seven rows.
-GLYPHS = {"L": "10000 10000 10000 10000 10000 10000 11111", "v": "00000 00000 10001 10001 01010 01010 00100", "1": "00100 01100 00100 00100 00100 00100 01110", "4": "00010 00110 01010 10010 11111 00010 00010", "7": "11111 00001 00010 00010 00100 00100 00100", "0": "01110 10001 10011 10101 11001 10001 01110"}
-
-
-def drawn(text: str, shift: int, width: int = 120, height: int = 40, scale: int = 3) -> bytes:
-    """A patch with white glyphs on a dark ground, as blue, green, red bytes."""
-    rows = [[(90, 40, 30)] * width for _ in range(height)]
-    for place, c in enumerate(text):
-        for y, line in enumerate(GLYPHS[c].split()):
-            for x, bit in enumerate(line):
-                if bit == "1":
-                    for dy in range(scale):
-                        left = 8 + shift + (6 * place + x) * scale
-                        rows[6 + y * scale + dy][left : left + scale] = [(255, 255, 255)] * scale
-    return bytes(v for row in rows for pixel in row for v in pixel)
-
-
-def patches(spark: SparkSession, sf_dir: str, labels: list[str]) -> DataFrame:
-    """(key, family, width, height, pixels): a patch a nation, with one of the labels somewhere on it."""
-    made = spark.createDataFrame([(i, shift, bytearray(drawn(x, shift))) for i, x in enumerate(labels) for shift in range(5)], "i long, shift long, pixels binary")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % len(labels)).alias("i"), (F.col("n_nationkey") % 5).alias("shift"))
-    return n.join(made, ["i", "shift"]).select(F.col("n_nationkey").cast("string").alias("key"), F.lit("level").alias("family"), F.lit(120).alias("width"), F.lit(40).alias("height"), "pixels")

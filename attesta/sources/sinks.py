@@ -79,11 +79,31 @@ def check_new(spark: SparkSession, paths: list[str]) -> None:
 
 
 def write_all(outputs: dict[str, DataFrame], kind: str = "parquet") -> None:
-    """Writes each DataFrame to its path; all targets are checked first, so none is written if one exists."""
+    """Writes each DataFrame to its path; all targets are checked first, so none is written if one exists.
+
+    Each path is claimed by a file beside it while the call lasts, so of two callers one is refused; if an output fails, those before it
+    go.  Where readers must never see a part of the outputs, even of a caller that dies, ``commits.write_set`` is the way."""
     spark = next(iter(outputs.values())).sparkSession
     check_new(spark, list(outputs))
-    for path, df in outputs.items():
-        df.write.mode("errorifexists").format(kind).save(path)
+    claims: list[str] = []
+    made: list[str] = []
+    try:
+        for path in outputs:
+            claim = f"{path.rstrip('/')}.claim"
+            if not create_file(spark, claim, b""):
+                raise FileExistsError(path)
+            claims.append(claim)
+        check_new(spark, list(outputs))  # another caller may have ended meanwhile
+        for path, df in outputs.items():
+            made.append(path)
+            df.write.mode("errorifexists").format(kind).save(path)
+    except BaseException:
+        for path in made:
+            remove(spark, path)
+        raise
+    finally:
+        for claim in claims:
+            remove(spark, claim)
 
 
 def write_with_report(df: DataFrame, path: str, report: dict, kind: str = "json") -> str:
@@ -119,8 +139,11 @@ def numbered_output(spark: SparkSession, parent: str, name: str, resume: bool =
     return path
 
 
-def write_extraction(path: str, *, segments: DataFrame, observations: DataFrame, results: DataFrame, review: DataFrame) -> None:
-    write_all({f"{path.rstrip('/')}/{k}": v for k, v in (("segments", segments), ("observations", observations), ("results", results), ("review", review))})
+def write_extraction(path: str, *, segments: DataFrame, observations: DataFrame, results: DataFrame, review: DataFrame) -> dict:
+    """The four outputs of an extraction as one commit; ``commits.read_output`` reads them."""
+    from attesta.sources.commits import write_set
+
+    return write_set({"segments": segments, "observations": observations, "results": results, "review": review}, path)
 
 
 def pack(files: DataFrame, path: str) -> str:

@@ -11,6 +11,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 
 from attesta.__main__ import main
+from attesta.sources import commits
 from attesta.domain import WIRE_KEYS
 
 WHOLE = {k: 1 for k in WIRE_KEYS.values()}
@@ -27,7 +28,7 @@ def test_import_merge_diff_export(spark, tmp_path, capsys):
     assert main(["import", a, one]) == main(["import", b, two]) == 0
     assert main(["import", b, two]) == 1  # never overwrites
     assert main(["merge", one, two, out]) == 0
-    readings = spark.read.parquet(f"{out}/readings")
+    readings = commits.read_output(spark, str(out), "readings")
     assert readings.where("entity_id = 10001 and field = 'level'").first().value == 90
     capsys.readouterr()
     assert main(["diff", one, two]) == 0
@@ -90,7 +91,7 @@ def test_extraction_to_export(spark, tmp_path, capsys):
     out = str(tmp_path / "out")
     assert main(["students", "extract", str(tmp_path / "obs"), out, "--corrections", str(tmp_path / "c.json")]) == 0
     assert said(capsys) == [{"entities": 2, "identified": 1}]
-    assert {r.key for r in spark.read.parquet(f"{out}/observations").where("rejection = 'not_entity_screen'").collect()} == {"v4"}
+    assert {r.key for r in commits.read_output(spark, str(out), "observations").where("rejection = 'not_entity_screen'").collect()} == {"v4"}
     assert main(["students", "inspect", out, "--page", str(tmp_path / "page")]) == 0
     shown = said(capsys)
     assert shown[0] == {"entities": 2, "needing_review": 1, "open_fields": 1}
