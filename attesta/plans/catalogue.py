@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import collections, numbers, text
-from attesta.operators import batches, evaluation, ranking, timeline
+from attesta.operators import batches, evaluation, ranking, scans, timeline
 from attesta.plans import standins as s
 from attesta.plans.queries import _EV, _SCORES, _scores, query
 from attesta.sources import codec
@@ -69,7 +69,7 @@ def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id AS idx, round(coalesce(list_sum(list_transform(list_zip(e, p), lambda z: abs(z[1] - z[2]))) / 64, 0.0), 6) AS motion FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, lag(CAST(embedding AS DOUBLE[])) OVER (ORDER BY vec_id) AS p FROM embeddings)")
 def motion_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = s.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("signature"))
-    return timeline.motion(v).select("idx", F.round("motion", 6).alias("motion"))
+    return timeline.motion(scans.by_ranges(v, [], "idx")).select("idx", F.round("motion", 6).alias("motion"))
 
 
 @query(

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from attesta.domain import WIRE_KEYS
 from attesta.functions import numbers, text
-from attesta.operators import batches, cachelog, consensus, evaluation, quality, ranking, rewards, snapshots, timeline
+from attesta.operators import batches, cachelog, consensus, evaluation, quality, ranking, rewards, scans, snapshots, timeline
 from attesta.plans import standins as s
+from attesta.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -430,7 +431,7 @@ def views_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _motion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    m = timeline.motion(s.series(spark, sf_dir))
+    m = timeline.motion(scans.by_ranges(s.series(spark, sf_dir), [], "idx"))
     return m, timeline.threshold(m)
 
 
@@ -439,10 +440,10 @@ def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def _intervals(series: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    m = timeline.motion(series)
+    m = written(timeline.motion(scans.by_ranges(series, [], "idx")), "motion")
     limits = timeline.threshold(m)
     found = timeline.islands(m, limits)
-    spans = timeline.intervals(found, limits)
+    spans = timeline.intervals(found, limits, moved=m)
     return found, spans, timeline.samples(timeline.stable(m, limits, spans)), limits
 
 
@@ -458,7 +459,7 @@ def mad_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SERIES} SELECT start, cut FROM isl")
 def motion_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir)[0]
+    return _spans(spark, sf_dir)[0].select("start", "cut")
 
 
 @query(f"WITH {_SERIES}, c AS (SELECT lo, hi, count(*) AS samples FROM chosen GROUP BY lo, hi) SELECT lo AS \"left\", hi AS \"right\", row_number() OVER (ORDER BY lo) AS segment, samples FROM c")

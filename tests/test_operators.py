@@ -290,3 +290,30 @@ def test_geometry(spark):
 def test_early_stop(spark):
     h = spark.createDataFrame([("r", i, m) for i, m in enumerate([0.1, 0.3, 0.3, 0.2, 0.4])], "run string, epoch long, metric double")
     assert [r.stale for r in timeline.early_stop(h, ["run"], 2).orderBy("epoch").collect()] == [0, 0, 1, 2, 0]
+
+
+# ---- intervals -----------------------------------------------------------------------------------------------------
+
+
+def test_nodes_cover_each_bucket_once(spark):
+    r = random.Random(6)
+    ends = [(a := r.randint(-60, 60), a + r.randint(0, 120)) for _ in range(150)] + [(0, 0), (-1, 0), (7, 7), (0, 127), (-(1 << 40), (1 << 41) + 5)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ends)], "i long, a long, b long")
+    for x in df.withColumn("n", timeline.nodes(F.col("a"), F.col("b"))).collect():
+        held = sorted((n.place << n.level, (n.place + 1) << n.level) for n in x.n)
+        assert held[0][0] == x.a and held[-1][1] == x.b + 1 and all(p[1] == q[0] for p, q in zip(held, held[1:], strict=False))
+        assert len(x.n) <= 2 * max(1, (x.b - x.a + 1).bit_length())
+
+
+def test_intervals_of_any_length(spark):
+    r = random.Random(2)
+    spans = [(k, a := r.uniform(-500, 500), a + r.choice([0.0, 0.5, 3.0, 40.0, 900.0, 1e6])) for k in range(80)] + [(90, -1e9, 1e9), (91, 5.0, 4.0), (92, 7.0, 7.0)]
+    points = [(i, r.choice([r.uniform(-600, 600), float(r.randint(-600, 600)), r.uniform(-2e6, 2e6)])) for i in range(300)] + [(900, a) for _, a, _ in spans[:3]] + [(901, b) for _, _, b in spans[:3]]
+    p, s = spark.createDataFrame(points, "i long, t double"), spark.createDataFrame(spans, "k long, a double, b double")
+    want = sorted((i, t, k) for i, t in points for k, a, b in spans if a <= t < b)
+    for width in (0.7, 50.0, 1e5):
+        got = timeline.in_interval(p, s, F.col("t"), F.col("a"), F.col("b"), width)
+        assert sorted(map(tuple, got.select("i", "t", "k").collect())) == want
+    whole = spark.range(1).select(F.lit(0.0).alias("a"), F.lit(86400.0 * 365 * 100).alias("b"))  # a century in buckets of a second
+    assert whole.select(F.size(timeline.nodes(F.floor("a"), F.floor("b")))).first()[0] < 100
+    assert timeline.in_interval(p, s.where("false"), F.col("t"), F.col("a"), F.col("b"), 1.0).count() == 0
