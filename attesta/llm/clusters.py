@@ -49,7 +49,7 @@ def first_centroids(kept: DataFrame, count: int = COUNT, seed: str = SEED) -> np
     """The ``count`` vectors with the smallest hash, in its order; each task gives no more than these."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit("null"))), 256)
     rows = kept.select(order.alias("h"), "v").orderBy("h", "v").limit(count).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
 def nearest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

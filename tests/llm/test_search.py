@@ -57,7 +57,7 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, row string, item_id long, terms array<int>"), spark.createDataFrame(items, "item_id long, text string"), docs, items
 
 
-@pytest.mark.parametrize(("k", "block"), [(10, search.BLOCK), (3, 300)])
+@pytest.mark.parametrize(("k", "block"), [(10, search.BLOCK), (3, 15_000)])
 def test_all_pairs(odd, k, block):
     docs, items, rows, asked = odd
     got = Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in search.ranked(docs, items, k=k, block=block).collect())
