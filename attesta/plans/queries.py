@@ -442,9 +442,9 @@ def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 def _intervals(series: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     m = written(timeline.motion(scans.by_ranges(series, [], "idx")), "motion")
     limits = timeline.threshold(m)
-    found = timeline.islands(m, limits)
-    spans = timeline.intervals(found, limits, moved=m)
-    return found, spans, timeline.samples(timeline.stable(m, limits, spans)), limits
+    found = written(timeline.islands(m, limits), "islands")
+    spans = written(timeline.intervals(found, limits, moved=m), "intervals")
+    return found, spans, timeline.samples(written(timeline.stable(m, limits, spans), "stable")), limits
 
 
 @query(f"WITH {_SERIES} SELECT idx, round(motion, 6) AS motion FROM motion")
