@@ -38,8 +38,9 @@ from attesta.llm.common import U64, Slice, SpanHash, documents, mix, partitions,
 LENGTH, GRAM = 50, 24
 #: Bytes of text, and contexts, that a kernel takes at once: its arrays then stay in a processor's cache.
 SLICE, CHUNK = 64 << 10, 8192
-#: Bytes of text in a block, at most about; a bucket gets what two blocks send on the average.
-BLOCK_BYTES = 48 << 20
+#: Bytes of text in a block, at most about; a bucket gets what two blocks send on the average.  A worker holds up to some 20 times
+#: as much, where most contexts are shared, so this and not the size of the corpus decides its memory.
+BLOCK_BYTES = 8 << 20
 #: An anchor is wide if so many of the blocks have it.
 WIDE = 0.9
 
@@ -209,6 +210,23 @@ def _binary(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
+def _cut(values: np.ndarray, first: np.ndarray, used: np.ndarray) -> pa.Array:
+    """The bytes of values[first[b] : first[b + 1]] for each b of ``used``, all of those that have any; nothing is copied."""
+    values = np.ascontiguousarray(values)
+    width = values.nbytes // max(1, len(values))
+    at = (np.append(first[used], len(values)) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(at), pa.py_buffer(values.ravel())])
+
+
+def _joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of all rows of a binary column, how many each row has), where they lie."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if data is not None and len(column) else np.zeros(0, kind)
+    return values, np.diff(at) // size
+
+
 def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(order by bucket, first of each bucket in that order)."""
     bucket = ((h >> U64(40)).astype(np.int64) * buckets) >> 24
@@ -270,7 +288,7 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wid
         low, several = (h[order] & U64(0xFFFFFFFF)).astype("<u4"), several[order]
         used = np.flatnonzero(np.diff(first))
         own = docs_.column("block")[0].as_py() if docs_.num_rows else -1
-        return pa.table({"bucket": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), own, np.int32)), "low": _binary([low[first[b] : first[b + 1]] for b in used]), "several": _binary([several[first[b] : first[b + 1]] for b in used])})
+        return pa.table({"bucket": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), own, np.int32)), "low": _cut(low, first, used), "several": _cut(several, first, used)})
 
     offered = dealt.cogroup(firsts.groupBy("block")).applyInArrow(offer, "bucket int, block int, low binary, several binary")
 
@@ -320,18 +338,17 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wid
         if not parts:
             parts = [(np.zeros(0, U64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3, np.zeros((0, width - 1 + length), np.uint8))]
         name, h, d, left, right, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.lexsort((d, name))
-        name = name[order]
-        head = order[np.concatenate([[True], name[1:] != name[:-1]])] if len(order) else order  # the least document of each context
-        name, h, d, left, right, raw = (x[head] for x in (np.concatenate([p[0] for p in parts]), h, d, left, right, raw))
-        order, first = _by_bucket(h, buckets)
+        head = order[np.concatenate([[True], name[order][1:] != name[order][:-1]])] if len(order) else order  # the least document of each context
+        order, first = _by_bucket(h[head], buckets)
+        at = head[order]
         used = np.flatnonzero(np.diff(first))
         own = docs_.column("block")[0].as_py() if docs_.num_rows else -1
-        columns = {"name": name, "anchor": h, "doc": d, "sides": (left * 64 + right).astype("<u2"), "raw": raw}
+        columns = {"name": name[at], "anchor": h[at], "doc": d[at], "sides": (left[at] * 64 + right[at]).astype("<u2"), "raw": raw[at]}
         out = {"bucket": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), own, np.int32)), "strings": pa.array(np.zeros(len(used), bool))}
         for k, v in columns.items():
-            v = v[order]
-            out[k] = _binary([v[first[b] : first[b + 1]] for b in used])
+            out[k] = _cut(v, first, used)
         if not strings:
             return pa.table(out)
         one, two, d = (np.concatenate(x) for x in zip(*strings, strict=True))
@@ -341,7 +358,7 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wid
         one, two, d = one[head], two[head], d[head]  # the least document of each string
         order, first = _by_bucket(one, buckets)
         used = np.flatnonzero(np.diff(first))
-        cut = lambda v: _binary([v[order][first[b] : first[b + 1]] for b in used])
+        cut = lambda v: _cut(v[order], first, used)
         none = _binary([np.zeros(0, np.uint8)] * len(used))
         more = {"bucket": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), own, np.int32)), "strings": pa.array(np.ones(len(used), bool)), "name": cut(one), "anchor": cut(two), "doc": cut(d), "sides": none, "raw": none}
         return pa.concat_tables([pa.table(out), pa.table(more)])
@@ -351,9 +368,8 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wid
     sent = dealt.cogroup(messages.groupBy("block")).applyInArrow(contexts, "bucket int, block int, strings boolean, name binary, anchor binary, doc binary, sides binary, raw binary")
 
     def match_strings(batch: pa.RecordBatch) -> pa.Table:
-        one, two, doc = ([np.frombuffer(x.as_py(), k) for x in batch.column(c)] for c, k in (("name", "<u8"), ("anchor", "<u8"), ("doc", "<i8")))
-        source = np.repeat(np.arange(len(one)), [len(x) for x in one])
-        one, two, doc = np.concatenate(one), np.concatenate(two), np.concatenate(doc)
+        (one, sizes), (two, _), (doc, _) = (_joined(batch.column(c), k) for c, k in (("name", "<u8"), ("anchor", "<u8"), ("doc", "<i8")))
+        source = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((doc, two, one))
         common = np.zeros(len(order), np.int64)  # all of a string or nothing: its hash stands for its bytes
         common[1:][(one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])] = length
@@ -366,17 +382,14 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wid
     def match(group: pa.Table) -> pa.Table:
         batch = _table(group)
         told = np.asarray(batch.column("strings"))
-        found = [f(batch.filter(pa.array(mine))) for f, mine in ((match_contexts, ~told), (match_strings, told)) if mine.any()]
+        found = [f(batch if mine.all() else batch.filter(pa.array(mine))) for f, mine in ((match_contexts, ~told), (match_strings, told)) if mine.any()]
         return pa.concat_tables(found)
 
     def match_contexts(batch: pa.RecordBatch) -> pa.Table:
-        def read(c: str, kind: str) -> list[np.ndarray]:
-            return [np.frombuffer(x.as_py(), kind) for x in batch.column(c)]
-
-        names = read("name", "<u8")
-        source = np.repeat(np.arange(len(names)), [len(x) for x in names])
-        name, anchor, doc = np.concatenate(names), np.concatenate(read("anchor", "<u8")), np.concatenate(read("doc", "<i8"))
-        sides, raw = np.concatenate(read("sides", "<u2")).astype(np.int64), np.concatenate(read("raw", "u1")).reshape(-1, width - 1 + length)
+        name, sizes = _joined(batch.column("name"), "<u8")
+        source = np.repeat(np.arange(len(sizes)), sizes)
+        anchor, doc = _joined(batch.column("anchor"), "<u8")[0], _joined(batch.column("doc"), "<i8")[0]
+        sides, raw = _joined(batch.column("sides"), "<u2")[0].astype(np.int64), _joined(batch.column("raw"), "u1")[0].reshape(-1, width - 1 + length)
         order = np.lexsort((doc, name, anchor))
         g = anchor[order]
         bits = np.zeros(len(name), "<u4")
@@ -387,7 +400,7 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, wid
             bits[part] = earlier(name[part], anchor[part], doc[part], sides[part], raw[part], length, gram)
             a = b
         at = np.flatnonzero(bits)
-        cut = np.searchsorted(source[at], np.arange(len(names) + 1))
+        cut = np.searchsorted(source[at], np.arange(len(sizes) + 1))
         used = np.flatnonzero(np.diff(cut))
         out = {"block": batch.column("block").take(pa.array(used)), "doc_id": pa.nulls(len(used), pa.int64())}
         for k, v in (("name", name), ("anchor", anchor), ("bits", bits)):

@@ -607,6 +607,17 @@ def test_repeated_strings(odd, empty, monkeypatch):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
+def test_blocks_fit_a_worker():
+    # measured: a worker holds some 22 times a block; two workers share what 3000 MB leave beside a heap of 60 %
+    assert 22 * suffix_dedup.BLOCK_BYTES <= 0.4 * 3_000_000_000 / 2
+    values, first = np.arange(12).reshape(6, 2), np.array([0, 0, 2, 2, 5, 6])
+    rows = suffix_dedup._cut(values, first, np.flatnonzero(np.diff(first)))
+    assert [np.frombuffer(x, np.int64).tolist() for x in rows.to_pylist()] == [[0, 1, 2, 3], [4, 5, 6, 7, 8, 9], [10, 11]]
+    found, sizes = suffix_dedup._joined(rows.slice(1), "<i8")
+    assert found.tolist() == list(range(4, 12)) and sizes.tolist() == [6, 2]
+    assert suffix_dedup._cut(values[:0], np.zeros(3, np.int64), np.zeros(0, np.int64)).to_pylist() == []
+
+
 def test_previous_factors():
     r = random.Random(3)
     for _ in range(120):
