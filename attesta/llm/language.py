@@ -11,8 +11,8 @@ boundary marks.
   weight of the lower order.  It is written to the shared folder; only the discounts, four numbers a language, reach the driver.
   Workers read it into one array of sorted gram hashes, with the numbers beside it, for each language and order.
 * Prediction: the language of the lowest cross-entropy per character; each distinct gram of a slice is looked up once.  A
-  logistic model of (margin, length) gives the score; it is fitted on at most ``CALIBRATION_ROWS`` of the documents set aside,
-  judged by a model that was counted without them.  What lies beyond the usual cross-entropy of its language or below the
+  logistic model of (margin, length) gives the score; it is fitted on all documents set aside, judged by a model that
+  was counted without them; Spark sums up what a step of the fit needs.  What lies beyond the usual cross-entropy of its language or below the
   threshold of the score is ``rejected``.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without learnable documents all are; ties go
@@ -37,8 +37,10 @@ from attesta.llm.common import U64, documents, mix, string_buffers
 from attesta.scratch import shared_path, written
 
 ORDER = 4
-#: Learnable documents that fit the score, of those set aside: one in so many.
-CALIBRATION_ROWS, ASIDE = 3000, 10
+#: Learnable documents that fit the score: one in so many is set aside.
+ASIDE = 10
+#: Share of the entropies of a language's right predictions that lie below its limit.
+USUAL = 0.995
 #: Characters that a kernel takes at once.
 SLICE = 1 << 20
 #: Rows that a task gathers before it hands partial counts on.
@@ -343,21 +345,52 @@ class Calibration(NamedTuple):
     least_score: float
 
 
-def calibrate(docs: DataFrame, model: Stored, rows: int = CALIBRATION_ROWS, slack: float = 0.5) -> Calibration:
-    """The score as a logistic model of (margin, log length), and the limits beyond which a prediction is rejected, from at
-    most ``rows`` documents that are set aside (those with the smallest hashed ids); ``model`` is one counted without them."""
-    some = learnable(docs).where(aside())
-    ids = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = some.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # at most ``rows`` ids
-    seen = entropies(sample, model, "lang").where("best is not null").orderBy("doc_id").limit(2 * rows).toPandas()
-    x = np.stack([np.ones(len(seen)), seen["margin"].to_numpy(), np.log1p(seen["n_symbols"].to_numpy(float))], 1)
-    y = (seen["best"] == seen["lang"]).to_numpy(float)
-    b = np.array([0.0, 1.0, 0.0])
-    for _ in range(30):
-        q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        b += np.linalg.solve((x * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - q) - 0.1 * (b - [0, 1, 0]))
-    limit = {k: float(v["entropy"].quantile(0.995) + slack) for k, v in seen[y == 1].groupby("best")} if len(seen) else {}
-    return Calibration(tuple(map(float, b)), limit, 0.5)
+def quantiles(rows: DataFrame, by: str, value: str, share: float = USUAL) -> dict[str, float]:
+    """The quantile of each group's values, between neighbours in proportion.  A sketch tells from where on to look, what lies below
+    is counted, and only what lies beyond, some hundredths of a group, is ordered."""
+    marks = rows.groupBy(by).agg(F.count(value).alias("_n"), F.percentile_approx(value, share - 0.015, 10_000).alias("_near"), F.min(value).alias("_least"))
+    marks = marks.select(by, "_n", F.when(F.col("_n") < 1000, F.col("_least")).otherwise(F.col("_near")).alias("_from"))  # few: all of them
+    marked = rows.join(F.broadcast(marks), by)  # a row a language
+    below = marked.groupBy(by, "_n").agg(F.count_if(F.col(value) < F.col("_from")).alias("_below"))
+    place = F.lit(share) * (F.col("_n") - 1)
+    own = Window.partitionBy(by).orderBy(value)
+    tail = marked.where(F.col(value) >= F.col("_from")).select(by, value).withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(below), by)
+    at = lambda k: F.max(F.when(F.col("_below") + F.col("_own") == k, F.col(value)))
+    found = tail.groupBy(by, "_n").agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"))
+    return {x[by]: float(x.value) for x in found.select(by, (F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))).alias("value")).collect()}
+
+
+def logistic(rows: DataFrame, rounds: int = 30) -> np.ndarray:
+    """The weights of (1, margin, length) that tell ``right`` (0 or 1), by Newton's steps with a slight pull to (0, 1, 0): each step is
+    one row of sums over all rows."""
+    names = ("one", "margin", "length")
+    b, start = np.array([0.0, 1.0, 0.0]), np.array([0.0, 1.0, 0.0])
+    x = {"one": F.lit(1.0), "margin": F.col("margin"), "length": F.col("length")}
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    for _ in range(rounds):
+        z = sum((float(w) * x[n] for w, n in zip(b, names, strict=True)), F.lit(0.0))
+        q = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+        judged = rows.select("*", q.alias("q")).withColumn("w", F.greatest(F.col("q") * (1 - F.col("q")), F.lit(1e-6)))
+        sums = judged.agg(*(F.sum(F.col("w") * x[names[i]] * x[names[j]]) for i, j in pairs), *(F.sum(x[n] * (F.col("right") - F.col("q"))) for n in names)).first()
+        if sums[0] is None:
+            return b
+        curve = np.zeros((3, 3))
+        for (i, j), value in zip(pairs, sums, strict=False):
+            curve[i, j] = curve[j, i] = value
+        step = np.linalg.solve(curve + 0.1 * np.eye(3), np.array(sums[6:], float) - 0.1 * (b - start))
+        b = b + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return b
+
+
+def calibrate(docs: DataFrame, model: Stored, slack: float = 0.5) -> Calibration:
+    """The score as a logistic model of (margin, log length), and the limits beyond which a prediction is rejected, from all
+    documents that are set aside; ``model`` is one counted without them."""
+    found = entropies(learnable(docs).where(aside()), model, "lang").where("best is not null")
+    seen = written(found.select("best", "entropy", "margin", F.log1p("n_symbols").alias("length"), (F.col("best") == F.col("lang")).cast("double").alias("right")), "calibration")
+    limit = {k: v + slack for k, v in quantiles(seen.where("right = 1"), "best", "entropy").items()}
+    return Calibration(tuple(map(float, logistic(seen))), limit, 0.5)
 
 
 def predicted(docs: DataFrame, *keep: str) -> DataFrame:

@@ -581,6 +581,23 @@ def test_marked_inline_elements():
     assert pages.main_text("<article><p>" + "w " * 2_000_000 + "</p></article>", None)[0] == ("w " * 2_000_000).strip()
 
 
+def test_calibration_takes_all_rows(spark):
+    r = random.Random(9)
+    rows = [(r.choice("ab"), r.random(), r.random(), r.random() * 6, float(r.random() < 0.7)) for _ in range(5001)] + [("c", 0.25, 1.0, 1.0, 1.0)]
+    seen = spark.createDataFrame(rows, "best string, entropy double, margin double, length double, right double")
+    want = {k: float(np.quantile([x[1] for x in rows if x[0] == k], 0.995)) for k in "abc"}
+    assert language.quantiles(seen, "best", "entropy") == pytest.approx(want)
+    for n in (1, 2, 3, 70, 201, 999, 1000, 1001):
+        assert language.quantiles(spark.createDataFrame([("a", float(k)) for k in range(n)], "best string, entropy double"), "best", "entropy") == pytest.approx({"a": 0.995 * (n - 1)})
+    x, y = np.array([(1.0, m, k) for _, _, m, k, _ in rows]), np.array([z[-1] for z in rows])
+    b = np.array([0.0, 1.0, 0.0])
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - q) - 0.1 * (b - [0, 1, 0]))
+    assert language.logistic(seen) == pytest.approx(b)
+    assert language.logistic(seen.limit(0)).tolist() == [0.0, 1.0, 0.0] and language.quantiles(seen.limit(0), "best", "entropy") == {}
+
+
 # ---- 4: repeated strings -------------------------------------------------------------------------------------------
 
 
